@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -348,7 +349,7 @@ def encode_texts(model: Bpe, texts: pa.Array, counts_only: bool = False):
 
 def _blocks(texts: pa.Array, limit: int = 4 << 20):
     """(first row, rows) of blocks of about limit bytes; a longer text is a block of its own."""
-    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
