@@ -1 +1 @@
-"""The plans of the engine."""
+"""Forecasting models as plans: a model is its partition and its rules, both tables."""

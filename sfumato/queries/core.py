@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sfumato.queries import reshape
+from sfumato.queries import reshape, univariate
 
-MODULES = (reshape,)
+MODULES = (univariate, reshape)
 
 
 def queries() -> dict:
