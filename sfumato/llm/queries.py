@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sfumato.llm import lookalike, packing, percentile, ranking, tokenizer, topn
 from sfumato.operators.entries import entries, measure_key, valid
-from sfumato.session import table
+from sfumato.session import cut, table
 
 KEYS = ("model", "partitions")
 SCORES = ("rmse", "mape", "u", "time")
@@ -76,7 +76,8 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.look_pairs(lookalike.look_keys(table(spark, d, "documents")))
+    """Pairs that look the same; the keys are read by several branches and so are written once to the shared folder."""
+    return lookalike.look_pairs(cut(lookalike.look_keys(table(spark, d, "documents"))))
 
 
 def p8_normalized(spark: SparkSession, d: str) -> DataFrame:
