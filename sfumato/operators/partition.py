@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -275,16 +275,17 @@ def classes(labels: dict[str, int]) -> Partition:
 
 
 def time_grid(season: int, n: int, first: float = 0.0, step: float | None = None) -> Partition:
-    """Sets over a cyclic season; the first and the last also cover the other end."""
+    """Triangles over a season of n parts; the first also covers the season's end, the last its beginning.
+
+    With a step the midpoints are first, first + step, ... and the ends reach one step; otherwise parts are season / n wide.
+    """
     part = season / n if step is None else step
-    half = part / 2
-    mids = [first + k * part for k in range(n)] if step is not None else [half + k * part for k in range(n)]
-    reach = part if step is not None else half * 2
+    end = part / 2 if step is None else part
+    mids = [part / 2 + k * part for k in range(n)] if step is None else [first + k * part for k in range(n)]
     lo, hi = first, first + season
-    sets = [make_set(f"A{i}", "trimf", (m - reach, m, m + reach), m) for i, m in enumerate(mids)]
-    head, tail = sets[0], sets[-1]
-    sets[0] = FuzzySet(head.name, head.mf, head.p, head.centroid, head.lower, head.upper, 1.0, (("trimf", (hi - half, hi, hi + half)),))
-    sets[-1] = FuzzySet(tail.name, tail.mf, tail.p, tail.centroid, tail.lower, tail.upper, 1.0, (("trimf", (lo - half, lo, lo + half)),))
+    sets = [make_set(f"A{i}", "trimf", (m - part, m, m + part), m) for i, m in enumerate(mids)]
+    for i, at in ((0, float(season)), (n - 1, 0.0)):
+        sets[i] = replace(sets[i], more=(("trimf", (at - end, at, at + end)),))
     return Partition(tuple(sets), lo, hi, cyclic=True)
 
 

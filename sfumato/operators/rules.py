@@ -49,13 +49,17 @@ def occurrence(tr: DataFrame, by: Sequence[str | Column], block: int = 1 << 16)
     return inside.join(before, [*names, "_block"]).withColumn("k", F.col("_k") + F.col("_before")).drop(*names, "_block", "_k", "_before")
 
 
-def paths(df: DataFrame, part: Partition, lags: Sequence[int], alpha: float = 0.0, keys: Sequence[str] = (), rhs: bool = False, x: str = "x") -> DataFrame:
+def paths(
+    df: DataFrame, part: Partition | None, lags: Sequence[int], alpha: float = 0.0, keys: Sequence[str] = (), rhs: bool = False, x: str = "x",
+    fuzzy: Column | None = None,
+) -> DataFrame:
     """keys, t (target), path (array of sets, oldest first), mu_min, mu_prod, newest; with rhs also rhs_ix and rhs_mu.
 
+    fuzzy, an array of (set_ix, mu), stands in for the fuzzification of x where sets depend on more than x.
     The target t is forecast from x at t - o for each lag o.  Without rhs the step after the last row is a target too.
     Each row explodes to at most 2 ** order paths on a grid of triangles; nothing is shuffled after the lags.
     """
-    src = df.select(*keys, "t", fired(part, F.col(x), alpha).alias("f"))
+    src = df.select(*keys, "t", (fired(part, F.col(x), alpha) if fuzzy is None else fuzzy).alias("f"))
     if not rhs:  # one more target after the end, to be forecast; grouping by key combines on the map side
         end = src.groupBy(*keys).agg((F.max("t") + 1).alias("t")) if keys else src.agg((F.max("t") + 1).alias("t"))
         src = src.unionByName(end.withColumn("f", F.lit(None).cast(src.schema["f"].dataType)))

@@ -16,20 +16,24 @@ def clean(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x.cast("double"))
 
 
-def dense(df: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds t = 0, 1, ... in the order of a column, by key.
+def dense(df: DataFrame, order: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """Adds t = 0, 1, ... in the order of a number or time column, by key.
 
-    With keys it is a window by key.  One series without key is sorted by range; each range is numbered alone and moved
-    by the number of rows in the ranges before it, so that no task sees the whole series.
+    Rows are put in buckets by approximate quantiles of the column, numbered within (key, bucket), and moved by the rows
+    in the key's earlier buckets, so that neither one long series nor a hot key is one task.
     """
-    if keys:
-        return df.withColumn("t", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND((1 << 33) - 1))
-    # One row a range: their number is that of the partitions.
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(before), "_part").withColumn("t", F.col("_row") + F.col("_before")).drop("_part", "_row", "_m", "_before")
+    c = F.col(order)
+    if df.schema[order].dataType.typeName() == "timestamp_ntz":
+        c = c.cast("timestamp")
+    c = c.cast("double")
+    cuts = df.agg(F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).head()["q"] or []
+    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda q: q < c)) if cuts else F.lit(0)
+    rows = df.withColumn("_b", bucket)
+    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)))
+    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b")  # at most `buckets` rows a key
+    before = counts.select(*keys, "_b", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return inside.join(before, [*keys, "_b"]).withColumn("t", F.col("_n") - 1 + F.col("_before")).drop("_b", "_n", "_before")
 
 
 def with_lags(

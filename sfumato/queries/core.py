@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sfumato.queries import reshape, univariate
+from sfumato.queries import harness, measures, models, reshape, univariate
 
-MODULES = (univariate, reshape)
+MODULES = (univariate, measures, models, harness, reshape)
 
 
 def queries() -> dict:
