@@ -1,7 +1,7 @@
 """Several values packed in one field: one row a value with its position.
 
 Quoted spans become indexed placeholders, the brackets around the whole list go, what remains is split at delimiters, and
-the placeholders are replaced by array look-up.  Everything is built-in functions, so it stays in the JVM.
+the placeholders are replaced by array look-up.  All of it is built-in functions in the JVM, but for very long fields.
 
 Placeholders are an index between two private-use characters.  Those characters are themselves treated as spans where
 a text holds them, so no text can collide with a placeholder.
@@ -9,14 +9,19 @@ a text holds them, so no text can collide with a placeholder.
 Defined results: NULL, empty and blank fields and empty brackets give no row; delimiters are commas (also full-width and
 ideographic), semicolons, bars, slashes, and runs of white space; white space beside another delimiter belongs to it; an
 empty place counts as a place but gives no row; a quote opens a span only at the beginning of a value and closes it
-before a delimiter, a closing bracket or the end; a doubled quote inside is one quote mark; equal values at different
+before a delimiter, a closing bracket or the end; a doubled quote inside is one quote mark; a quote without an end is
+ordinary text; equal values at different
 places are different rows; rows repeated in the input are repeated in the output.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OPEN, _CLOSE = chr(0xE000), chr(0xE001)
 _WIDE = chr(0xFF0C) + chr(0x3001)
@@ -24,10 +29,10 @@ _BLANK = r"[\s\p{Z}]"
 _MARK = rf"[,;|/{_WIDE}]"
 _BEGIN = rf"(?<=^|[,;|/{_WIDE}\[({{\s\p{{Z}}])"
 _END = rf"(?={_BLANK}*(?:$|[,;|/{_WIDE}\])}}]))|(?={_BLANK})"
-_SPAN = rf"""{_BEGIN}(?:"(?:[^"]|""|"(?!{_BLANK}|$|[,;|/{_WIDE}\])}}]))*"(?:{_END})|'(?:[^']|''|'(?!{_BLANK}|$|[,;|/{_WIDE}\])}}]))*'(?:{_END}))|[{_OPEN}{_CLOSE}]"""
-#: One pair of brackets around the whole list, with pairs of the same kind inside up to a depth of two.
+_SPAN = rf"""{_BEGIN}(?:"(?:[^"]++|""|"(?!{_BLANK}|$|[,;|/{_WIDE}\])}}]))*"(?:{_END})|'(?:[^']++|''|'(?!{_BLANK}|$|[,;|/{_WIDE}\])}}]))*'(?:{_END}))|[{_OPEN}{_CLOSE}]"""
+#: Brackets around the whole list, with pairs of the same kind inside up to a depth of two; each kind goes at most twice.
 _BRACKETS = [
-    rf"(?s)^{a}((?:[^{a}{b}]|{a}(?:[^{a}{b}]|{a}[^{a}{b}]*{b})*{b})*){b}$" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"))
+    rf"(?s)^{a}((?:[^{a}{b}]++|{a}(?:[^{a}{b}]++|{a}[^{a}{b}]*+{b})*{b})*){b}$" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"))
 ]
 _TRIM = rf"^{_BLANK}+|{_BLANK}+$"
 
@@ -36,9 +41,116 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, _TRIM, "")
 
 
+#: Java's patterns recurse with the number of quotes and brackets; longer fields are read by a loop of the same meaning.
+LONG = 2_000
+_MARKS = ",;|/" + _WIDE
+_PAIRS = {"[": "]", "(": ")", "{": "}"}
+
+
+def _is_blank(ch: str) -> bool:
+    return ch in " \t\n\r\f\v" or unicodedata.category(ch)[0] == "Z"
+
+
+def split_field(text: str) -> list[tuple[int, str]]:
+    """(position, value) of one field, with the same steps: spans, brackets, delimiters, spans again."""
+    spans: list[str] = []
+    chars: list[str | int] = []  # an int stands for a span
+    i, n = 0, len(text)
+    while i < n:
+        ch = text[i]
+        if ch in "\"'" and (i == 0 or text[i - 1] in _MARKS or text[i - 1] in _PAIRS or _is_blank(text[i - 1])):
+            j, value = i + 1, []
+            while j < n:
+                k = text.find(ch, j)
+                if k < 0:
+                    j = n
+                    break
+                value.append(text[j:k])
+                after = text[k + 1 : k + 2]
+                if after == ch:
+                    value.append(ch)
+                    j = k + 2
+                elif after == "" or after in _MARKS or after in "])}" or _is_blank(after):
+                    spans.append("".join(value))
+                    chars.append(len(spans) - 1)
+                    i = k + 1
+                    break
+                else:
+                    value.append(ch)
+                    j = k + 1
+            if j < n:
+                continue
+        chars.append(ch)
+        i += 1
+
+    def blank(c) -> bool:
+        return isinstance(c, str) and _is_blank(c)
+
+    lo, hi = 0, len(chars)
+
+    def strip() -> None:
+        nonlocal lo, hi
+        while lo < hi and blank(chars[lo]):
+            lo += 1
+        while lo < hi and blank(chars[hi - 1]):
+            hi -= 1
+
+    strip()
+    for opens, closes in [*_PAIRS.items()] * 2:
+        if hi - lo > 1 and chars[lo] == opens and chars[hi - 1] == closes:
+            depth, deepest, broken = 0, 0, False
+            for c in chars[lo + 1 : hi - 1]:
+                depth += (c == opens) - (c == closes)
+                deepest = max(deepest, depth)
+                broken = broken or depth < 0
+            if not broken and not depth and deepest <= 2:
+                lo, hi = lo + 1, hi - 1
+                strip()
+    places, current, i = [], [], lo
+    while i < hi:
+        j = i
+        while j < hi and blank(chars[j]):
+            j += 1
+        if j < hi and isinstance(chars[j], str) and chars[j] in _MARKS:
+            j += 1
+            while j < hi and blank(chars[j]):
+                j += 1
+        elif j == i:
+            current.append(chars[i])
+            i += 1
+            continue
+        places.append(current)
+        current, i = [], j
+    places.append(current)
+    out = []
+    for k, place in enumerate(places, 1):
+        value = "".join(spans[c] if isinstance(c, int) else c for c in place).strip()
+        if value:
+            out.append((k, value))
+    return out
+
+
+def _split_long(src: DataFrame, keys: list[str], item: str, pos: str) -> DataFrame:
+    schema = T.StructType([*(src.schema[k] for k in keys), T.StructField(pos, T.IntegerType()), T.StructField(item, T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):  # one field at a time: each is long
+                got = split_field(batch.column(len(keys))[row].as_py())
+                at = pa.array([row] * len(got), pa.int64())
+                cols = [batch.column(i).take(at) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array([p for p, _ in got], pa.int32()), pa.array([v for _, v in got], pa.string())], names=schema.names
+                )
+
+    return src.mapInArrow(run, schema)
+
+
 def split_packed(df: DataFrame, keys: list[str], field: str, item: str = "item", pos: str = "pos") -> DataFrame:
     """keys, pos (from 1) and item of each value in a field."""
     src = df.select(*keys, F.col(field).cast("string").alias("_f")).where(F.col("_f").rlike(rf"[^\s\p{{Z}}]"))
+    long = _split_long(src.where(F.length("_f") > LONG), keys, item, pos)
+    src = src.where(F.length("_f") <= LONG)
     src = src.select(
         *keys, F.regexp_extract_all("_f", F.lit(_SPAN), F.lit(0)).alias("_spans"), F.split("_f", _SPAN, -1).alias("_gaps"),
     )
@@ -61,4 +173,4 @@ def split_packed(df: DataFrame, keys: list[str], field: str, item: str = "item",
     gaps = F.split("_part", number, -1)
     mixed = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_spans", F.get(numbers, i).cast("int")), F.lit("")))), "")
     value = F.when(alone, inner(span(index))).when(F.col("_part").contains(_OPEN), mixed).otherwise(F.col("_part"))
-    return src.select(*keys, (F.col("_p") + 1).alias(pos), _trim(value).alias(item)).where(F.col(item) != "")
+    return src.select(*keys, (F.col("_p") + 1).alias(pos), _trim(value).alias(item)).where(F.col(item) != "").unionByName(long)
