@@ -25,30 +25,34 @@ MAX_HEAVY = 10_000
 def top_n(
     df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, heavy_rows: int = 20_000, ranges: int = 16, salts: int = 4,
 ) -> DataFrame:
-    """df's rows of rank 1 to n within the group, with the rank in ``rnk``."""
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    """df's rows of rank 1 to n within the group, with the rank in ``rnk`` (in place of a column of that name)."""
+    # The row travels as one value beside its keys, so that no column of df can clash with the operator's own.
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "rnk"))
+    gs, os_ = [f"g{i}" for i in range(len(group))], [f"o{i}" for i in range(len(order))]
+    src = df.select(*(F.col(f"`{c}`").alias(g) for c, g in zip(group, gs, strict=True)), *(F.col(f"`{c}`").alias(o) for c, o in zip(order, os_, strict=True)), row.alias("row"))
+    keys = [F.col(o).asc_nulls_last() for o in os_]
+    counts = src.groupBy(*gs).agg(F.count(F.lit(1)).alias("rows"))
     heavy = (
-        counts.where(F.col("_rows") > heavy_rows).orderBy(F.col("_rows").desc(), *group).limit(MAX_HEAVY)
-        .select(*(F.col(c).alias(f"_g_{c}") for c in group), F.lit(True).alias("_heavy"))
+        counts.where(F.col("rows") > heavy_rows).orderBy(F.col("rows").desc(), *gs).limit(MAX_HEAVY)
+        .select(*(F.col(g).alias(f"h_{g}") for g in gs), F.lit(True).alias("heavy"))
     )
-    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
-    flagged = df.join(F.broadcast(heavy), on, "left").drop(*(f"_g_{c}" for c in group))
-    cold = flagged.where(F.col("_heavy").isNull()).drop("_heavy")
-    hot = flagged.where(F.col("_heavy")).drop("_heavy")
+    on = [F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in gs]
+    flagged = src.join(F.broadcast(heavy), on, "left").drop(*(f"h_{g}" for g in gs))
+    cold = flagged.where(F.col("heavy").isNull()).drop("heavy")
+    hot = flagged.where(F.col("heavy")).drop("heavy")
 
     def ranked(x: DataFrame, by: Sequence[str]) -> DataFrame:
         return x.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).where(F.col("rnk") <= n)
 
-    cuts = (
-        hot.groupBy(*(F.col(c).alias(f"_g_{c}") for c in group))
-        .agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
-    )
-    bucket = F.when(F.col(order[0]).isNull(), F.lit(ranges)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(order[0]))))
-    hot = (
-        hot.join(F.broadcast(cuts), on, "left").drop(*(f"_g_{c}" for c in group))
-        .withColumn("_range", bucket)
-        .withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))).drop("_cuts")
-    )
-    parts = ranked(hot, [*group, "_range", "_salt"]).drop("rnk", "_range", "_salt")
-    return ranked(cold, group).unionByName(ranked(parts, group))
+    number = df.schema[order[0]].dataType.typeName() not in ("string", "binary", "boolean")
+    if number:
+        cuts = (
+            hot.groupBy(*(F.col(g).alias(f"h_{g}") for g in gs))
+            .agg(F.percentile_approx("o0", [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))
+        )
+        bucket = F.when(F.col("o0").isNull(), F.lit(ranges)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("o0"))))
+        hot = hot.join(F.broadcast(cuts), on, "left").drop(*(f"h_{g}" for g in gs)).withColumn("bucket", bucket).drop("cuts")
+    else:  # only numbers and times have percentiles; the salt alone shares other columns out
+        hot = hot.withColumn("bucket", F.lit(0))
+    parts = ranked(hot.withColumn("salt", F.pmod(F.xxhash64(*os_), F.lit(salts))), [*gs, "bucket", "salt"]).drop("rnk", "bucket", "salt")
+    return ranked(cold, gs).unionByName(ranked(parts, gs)).select("row.*", "rnk")
