@@ -76,12 +76,12 @@ def ahead(model: FirstOrder, df: DataFrame, steps: int) -> DataFrame:
     """target_t, horizon, yhat: each row's own forecast fed back `steps` times.
 
     The set of a forecast depends on the set before only, so a step is a join with the map set -> (yhat, next set), which
-    has one row a set.
+    has one row a set.  A forecast midway between two sets belongs to the lower one, whatever the last digits say.
     """
     part, spark = model.part, df.sparkSession
     known = {r["lhs"]: r["mid"] for r in model.rules.collect()}
     mids = [known.get(i, s.centroid) for i, s in enumerate(part.sets)]
-    nxt = [max(range(len(part)), key=lambda j, m=m: (part.sets[j].degree(m), -j)) for m in mids]
+    nxt = [max(range(len(part)), key=lambda j, m=m: (round(part.sets[j].degree(m), 9), -j)) for m in mids]
     table, at = [], list(range(len(part)))
     for k in range(1, steps + 1):
         table += [(i, k, mids[a]) for i, a in enumerate(at)]

@@ -152,7 +152,7 @@ def chen_h3(spark, d):
 
 @query(TRANS + ", " + _RULE_SQL["chen"] + """,
 y1 AS (SELECT g.set_ix, coalesce(m.mid, g.c) AS y FROM g LEFT JOIN m ON m.i = g.set_ix),
-nx AS (SELECT set_ix, nxt FROM (SELECT y1.set_ix, g.set_ix AS nxt, row_number() OVER (PARTITION BY y1.set_ix ORDER BY greatest(0, 1 - abs(y1.y - g.c) / g.p) DESC, g.set_ix) AS rn FROM y1, g) WHERE rn = 1),
+nx AS (SELECT set_ix, nxt FROM (SELECT y1.set_ix, g.set_ix AS nxt, row_number() OVER (PARTITION BY y1.set_ix ORDER BY round(greatest(0, 1 - abs(y1.y - g.c) / g.p), 9) DESC, g.set_ix) AS rn FROM y1, g) WHERE rn = 1),
 st AS (SELECT set_ix, 1 AS horizon, set_ix AS at FROM g UNION ALL SELECT n1.set_ix, 2, n1.nxt FROM nx n1 UNION ALL SELECT n1.set_ix, 3, n2.nxt FROM nx n1 JOIN nx n2 ON n2.set_ix = n1.nxt)
 SELECT a.t + st.horizon AS target_t, CAST(st.horizon AS INTEGER) AS horizon, round(y1.y, 6) AS yhat FROM a JOIN st ON st.set_ix = a.set_ix JOIN y1 ON y1.set_ix = st.at""")
 def chen_ahead(spark, d):

@@ -41,7 +41,19 @@ def split(text):
 
     tokens = scan(text)
     is_blank = lambda t: t[0] == "c" and t[1].isspace()
-    while len(tokens) > 1 and tokens[0][0] == "c" and tokens[0][1] in PAIRS and tokens[-1] == ("c", PAIRS[tokens[0][1]]):
+
+    def wrapped(ts):
+        """Whether the first bracket's partner is the last character."""
+        if len(ts) < 2 or ts[0][0] != "c" or ts[0][1] not in PAIRS or ts[-1] != ("c", PAIRS[ts[0][1]]):
+            return False
+        depth = 0
+        for i, t in enumerate(ts):
+            depth += (t == ts[0]) - (t == ts[-1])
+            if depth == 0:
+                return i == len(ts) - 1
+        return False
+
+    while wrapped(tokens):
         tokens = tokens[1:-1]
         while tokens and is_blank(tokens[0]):
             tokens = tokens[1:]
