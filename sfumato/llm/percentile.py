@@ -192,7 +192,7 @@ def merge(summaries: DataFrame, keys: Sequence[str], k: int = 1024, fan_in: int
     """
     cols = [f.name for f in _STATE]
     schema, arrow = _summary_schema(summaries, keys)
-    salted = summaries.select(*keys, *cols, F.pmod(F.xxhash64("n", "vmin", "vmax", F.element_at("rest", 1)), F.lit(fan_in)).alias("_salt"))
+    salted = summaries.select(*keys, *cols, F.pmod(F.xxhash64("n", "vmin", "vmax", F.get("rest", F.lit(0))), F.lit(fan_in)).alias("_salt"))
     part = (
         salted.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "n", "vmin", "vmax").select(*keys, *cols)
         .mapInArrow(_stream(len(keys), k, schema, arrow, merging=True), schema)
