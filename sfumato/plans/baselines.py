@@ -164,8 +164,18 @@ def knn(df: DataFrame, k: int = 30, order: int = 1, every: int = 100) -> DataFra
                     d = np.concatenate([best_d[s], d], axis=1)
                     tt = np.concatenate([best_t[s], np.broadcast_to(t, (len(qt[s]), len(t)))], axis=1)
                     xx = np.concatenate([best_x[s], np.broadcast_to(x, (len(qt[s]), len(x)))], axis=1)
-                    keep = np.lexsort((tt, d), axis=1)[:, :k]
-                    best_d[s], best_t[s], best_x[s] = (np.take_along_axis(z, keep, axis=1) for z in (d, tt, xx))
+                    # Only what isn't farther than the k-th is put in order, by distance and then time.
+                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    near &= np.isfinite(d)
+                    row = np.nonzero(near)[0]
+                    order_ = np.lexsort((tt[near], d[near], row))
+                    row, dd, tt, xx = row[order_], d[near][order_], tt[near][order_], xx[near][order_]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    keep = place < k
+                    best_d[s] = np.inf
+                    best_d[at + row[keep], place[keep]] = dd[keep]
+                    best_t[at + row[keep], place[keep]] = tt[keep]
+                    best_x[at + row[keep], place[keep]] = xx[keep]
             found = np.isfinite(best_d)
             q = np.broadcast_to(qt[:, None], best_d.shape)[found]
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best_t[found], pa.int64()), pa.array(best_d[found]), pa.array(best_x[found])], names=["q", "t", "d", "x"])
