@@ -75,6 +75,20 @@ class Partition:
         rows = [(i, s.name, s.mf, list(s.p), s.lower, s.centroid, s.upper, s.alpha) for i, s in enumerate(self.sets)]
         return spark.createDataFrame(rows, "set_ix int, name string, mf string, p array<double>, lower double, centroid double, upper double, alpha double")
 
+    @property
+    def lower_set(self) -> FuzzySet:
+        return self.sets[0]
+
+    @property
+    def upper_set(self) -> FuzzySet:
+        return self.sets[-1]
+
+    def __getitem__(self, name: str | int) -> FuzzySet:
+        return self.sets[name] if isinstance(name, int) else next(s for s in self.sets if s.name == name)
+
+    def __iter__(self):
+        return iter(self.sets)
+
     def mass(self, bins: int = 100) -> list[float]:
         """Z of each set: the sum of its degrees over equally spaced points of the universe."""
         return [sum(s.degree(self.lo + k * (self.hi - self.lo) / (bins - 1)) for k in range(bins)) for s in self.sets]
@@ -254,6 +268,15 @@ def subclust(df: DataFrame, x: str, ra: float = 0.5, eps_sup: float = 0.5, eps_i
     return _between([float(v[i] * (b - a) + a) for i in centres], "trimf", lo, hi)
 
 
+def composite(name: str, shapes: Sequence[tuple[str, Sequence[float]]], at: float | None = None) -> FuzzySet:
+    """Union of shapes: the greatest degree, the widest bounds, the greatest centroid unless one is given."""
+    first, *rest = shapes
+    ends = [bounds(m, p) for m, p in shapes]
+    c = max(centroid(m, p) for m, p in shapes) if at is None else at
+    more = tuple((m, tuple(map(float, p))) for m, p in rest)
+    return FuzzySet(name, first[0], tuple(map(float, first[1])), float(c), float(min(a for a, _ in ends)), float(max(b for _, b in ends)), 1.0, more)
+
+
 def simple(sets: Sequence[tuple[str, str, Sequence[float]]]) -> Partition:
     """Sets given by hand: (name, mf, parameters)."""
     made = sorted((make_set(n, mf, p) for n, mf, p in sets), key=lambda s: s.centroid)

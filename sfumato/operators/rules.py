@@ -29,6 +29,13 @@ def transitions(df: DataFrame, part: Partition, h: int = 1, keys: Sequence[str]
     return with_lags(a, ["a"], [-h], keys).select(*keys, "t", F.col("a").alias("lhs"), F.col(f"a_{-h}").alias("rhs")).where(F.col("rhs").isNotNull())
 
 
+def indexed(df: DataFrame, part: Partition, season: str, h: int = 1, keys: Sequence[str] = (), x: str = "x") -> DataFrame:
+    """keys, t, lhs, rhs, season: transitions with the season of the right side's time."""
+    a = df.select(*keys, "t", maximum(part, F.col(x)).alias("a"), F.col(season).alias("season"))
+    o = with_lags(a, ["a", "season"], [-h], keys).where(F.col(f"a_{-h}").isNotNull())
+    return o.select(*keys, "t", F.col("a").alias("lhs"), F.col(f"a_{-h}").alias("rhs"), F.col(f"season_{-h}").alias("season"))
+
+
 def nonrecurrent(tr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct transitions with the time of their first occurrence."""
     return tr.groupBy(*keys, "lhs", "rhs").agg(F.min("t").alias("first_t"))

@@ -7,7 +7,7 @@ give out a record batch whenever BATCH entities are full.  Only one batch is hel
 
 Defined results: attributes outside of the catalogue and values that are NULL, NaN or infinite fill no cell; an entity
 with no filled cell has a row of NULLs; a NULL entity is an entity like any other; whole-number columns take the nearest
-whole number, and NULL where it exceeds 64 bits; extra columns of the input don't take part, whatever their names.
+whole number, and NULL where it exceeds 64 bits (its provenance stays); extra columns of the input don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,14 +63,14 @@ def widen(cells: DataFrame, entity: Sequence[str], catalog: Sequence[tuple[str,
     extra = [F.col(f"_o_{provenance}").cast("long").alias("_p")] if provenance else []
     rows = cells.select(*entity, "_ix", "_v", *extra).repartition(*entity).sortWithinPartitions(*entity, "_ix")
 
-    def flush(keys: list[pa.RecordBatch], n: int, values, ints, masks, ids) -> pa.RecordBatch:
+    def flush(keys: list[pa.RecordBatch], n: int, values, ints, masks, ids, filled) -> pa.RecordBatch:
         heads = pa.Table.from_batches(keys).combine_chunks()
         cols = [heads.column(i).combine_chunks() if heads.num_rows else pa.array([], arrow[i].type) for i in range(n_key)]
         for i in range(width):
             data = ints[i] if whole[i] else values[i]
             cols.append(pa.array(data[:n], arrow[n_key + i].type, mask=~masks[i, :n]))
         if provenance:
-            cols += [pa.array(ids[i, :n], pa.int64(), mask=~masks[i, :n]) for i in range(width)]
+            cols += [pa.array(ids[i, :n], pa.int64(), mask=~filled[i, :n]) for i in range(width)]
         return pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     def run(batches):
@@ -78,6 +78,7 @@ def widen(cells: DataFrame, entity: Sequence[str], catalog: Sequence[tuple[str,
         ints = np.zeros((width, BATCH), np.int64)
         ids = np.zeros((width, BATCH), np.int64)
         masks = np.zeros((width, BATCH), bool)
+        filled = np.zeros((width, BATCH), bool)
         n, keys, last = 0, [], None
         for batch in batches:
             if not batch.num_rows:
@@ -108,17 +109,18 @@ def widen(cells: DataFrame, entity: Sequence[str], catalog: Sequence[tuple[str,
                 values[ix[use], entity_no[use]] = v[use]
                 fits = np.abs(v[use]) < 2.0**63
                 masks[ix[use], entity_no[use]] = fits | ~np.array(whole)[ix[use]] if len(use) else True
+                filled[ix[use], entity_no[use]] = True
                 ints[ix[use], entity_no[use]] = np.rint(np.where(fits, v[use], 0)).astype(np.int64)
                 if provenance:
                     ids[ix[use], entity_no[use]] = p[use]
                 done_rows, done_starts = stop, till
                 if done_rows < batch.num_rows:
-                    yield flush(keys, n, values, ints, masks, ids)
+                    yield flush(keys, n, values, ints, masks, ids, filled)
                     entity_no = entity_no - n
                     n, keys = 0, []
-                    masks[:] = False
+                    masks[:] = filled[:] = False
         if n:
-            yield flush(keys, n, values, ints, masks, ids)
+            yield flush(keys, n, values, ints, masks, ids, filled)
 
     return rows.mapInArrow(run, schema)
 

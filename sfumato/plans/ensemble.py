@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sfumato.functions.scalars import KERNELS
 from sfumato.operators import partition as P
 from sfumato.plans import first_order as fo
 from sfumato.plans import high_order as ho
@@ -87,6 +88,15 @@ def distribution(members: DataFrame, lo: float, hi: float, n: int = 100, trim: f
     return c.select(*keys, "bin_ix", (F.col("c") / F.sum("c").over(Window.partitionBy(*keys))).alias("density"))
 
 
+def kde(members: DataFrame, lo: float, hi: float, n: int = 100, h: float = 10.0, kernel: str = "gaussian", keys: Sequence[str] = ("target_t",)) -> DataFrame:
+    """keys, bin_ix, bin, density: kernel density of the members' forecasts of each target; the members are few."""
+    step = (hi - lo) / (n - 1)
+    each = members.withColumn("bin_ix", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = F.lit(lo) + F.col("bin_ix") * step
+    g = each.groupBy(*keys, "bin_ix").agg((F.sum(KERNELS[kernel]((at - F.col("yhat")) / h)) / (F.count(F.lit(1)) * h)).alias("density"))
+    return g.select(*keys, "bin_ix", (F.lit(lo) + F.col("bin_ix") * step).alias("bin"), "density")
+
+
 def seasonal(df: DataFrame, part: P.Partition, seasons: Sequence[str]) -> DataFrame:
     """Members of a contextual seasonal model for each season column, with the model's name."""
     from sfumato.plans.seasonal import contextual_forecast, contextual_rules

@@ -1,10 +1,13 @@
-"""High-order, interval and probabilistic models over paths of lagged fuzzy sets (true lags: t - o)."""
+"""High-order, interval and probabilistic models over paths of lagged fuzzy sets (true lags: t - o).
+
+``fuzzy``, a column of (set_ix, mu) arrays, stands in for the fuzzification of x, for instance by multivariate sets.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sfumato.operators.fuzzify import clip, degrees
@@ -13,9 +16,9 @@ from sfumato.operators.rules import paths, small
 from sfumato.operators.series import with_lags
 
 
-def rules(df: DataFrame, part: Partition, lags: Sequence[int], weighted: bool, alpha: float = 0.0) -> DataFrame:
+def rules(df: DataFrame, part: Partition, lags: Sequence[int], weighted: bool, alpha: float = 0.0, fuzzy: Column | None = None) -> DataFrame:
     """path, mid, lower, upper, n: plain means and extremes over distinct successors, or means by frequency."""
-    seen = paths(df, part, lags, alpha, rhs=True).groupBy("path", "rhs_ix").agg(F.count(F.lit(1)).alias("n"))
+    seen = paths(df, part, lags, alpha, rhs=True, fuzzy=fuzzy).groupBy("path", "rhs_ix").agg(F.count(F.lit(1)).alias("n"))
     c, lo, up = part.centroid(F.col("rhs_ix")), part.lower(F.col("rhs_ix")), part.upper(F.col("rhs_ix"))
     n = F.sum("n")
     if weighted:
@@ -24,12 +27,12 @@ def rules(df: DataFrame, part: Partition, lags: Sequence[int], weighted: bool, a
     return seen.groupBy("path").agg(F.avg(c).alias("mid"), F.min(lo).alias("lower"), F.max(up).alias("upper"), n.alias("n"))
 
 
-def forecast(df: DataFrame, part: Partition, rule_table: DataFrame, lags: Sequence[int], mode: str = "mean", alpha: float = 0.0) -> DataFrame:
+def forecast(df: DataFrame, part: Partition, rule_table: DataFrame, lags: Sequence[int], mode: str = "mean", alpha: float = 0.0, fuzzy: Column | None = None) -> DataFrame:
     """target_t, yhat, lower, upper.  mode 'mean' averages the midpoints of the paths, 'weighted' weights them by mu.
 
     Paths of one target come from one row, so the aggregation's map side leaves one row a target.
     """
-    fired_paths = paths(df, part, lags, alpha)
+    fired_paths = paths(df, part, lags, alpha, fuzzy=fuzzy)
     j = fired_paths.join(small(rule_table, len(part) ** len(lags)), "path", "left")
     mid = F.coalesce("mid", part.centroid(F.col("newest")))
     lo = F.coalesce(F.col("lower"), part.lower(F.col("newest")))
@@ -58,10 +61,10 @@ def hwang(df: DataFrame, part: Partition, order: int = 2, x: str = "x") -> DataF
     return src.select((F.col("t") + 1).alias("target_t"), (total / count).alias("yhat"))
 
 
-def pwfts_rules(df: DataFrame, part: Partition, lags: Sequence[int], h: int = 1) -> DataFrame:
+def pwfts_rules(df: DataFrame, part: Partition, lags: Sequence[int], h: int = 1, fuzzy: Column | None = None) -> DataFrame:
     """path, rhs_ix, mass: the sum of degree products over the whole series."""
     lagged = [o + h - 1 for o in lags]
-    p = paths(df, part, lagged, rhs=True)
+    p = paths(df, part, lagged, rhs=True, fuzzy=fuzzy)
     return p.groupBy("path", "rhs_ix").agg(F.sum(F.col("mu_prod") * F.col("rhs_mu")).alias("mass"))
 
 
@@ -75,9 +78,9 @@ def pwfts_groups(mass: DataFrame, part: Partition) -> DataFrame:
     return g.withColumn("p", F.col("f") / F.sum("f").over(Window.partitionBy(F.lit(0))))
 
 
-def pwfts_point(df: DataFrame, part: Partition, groups: DataFrame, lags: Sequence[int]) -> DataFrame:
+def pwfts_point(df: DataFrame, part: Partition, groups: DataFrame, lags: Sequence[int], fuzzy: Column | None = None) -> DataFrame:
     """target_t, yhat, lower, upper: means over the fired left sides, weighted by degree times the left side's share."""
-    j = paths(df, part, lags).join(small(groups, len(part) ** len(lags)), "path", "left")
+    j = paths(df, part, lags, fuzzy=fuzzy).join(small(groups, len(part) ** len(lags)), "path", "left")
     p = F.coalesce("p", F.lit(1.0))
     norm = F.when(F.col("mu_prod") * p > 0, F.col("mu_prod") * p).otherwise(p)
     over = lambda pick: F.aggregate(F.col("path"), F.lit(0.0), lambda a, i: a + pick(i)) / F.size("path")
@@ -103,13 +106,13 @@ def rule_bins(mass: DataFrame, groups: DataFrame, part: Partition, bins: int = 1
     )
 
 
-def pwfts_distribution(df: DataFrame, part: Partition, mass: DataFrame, lags: Sequence[int], bins: int = 100) -> DataFrame:
+def pwfts_distribution(df: DataFrame, part: Partition, mass: DataFrame, lags: Sequence[int], bins: int = 100, fuzzy: Column | None = None) -> DataFrame:
     """target_t, bin_ix, bin, density: mixtures of the fired left sides; bins without density have no row."""
     groups = pwfts_groups(mass, part)
     rb = rule_bins(mass, groups, part, bins)
     z = part.mass(bins)
     total = groups.select("path", (F.col("p") / F.aggregate(F.col("path"), F.lit(0.0), lambda a, i: a + part._pick(i, z))).alias("ps"))
-    fired_paths = paths(df, part, lags).select("t", "path", "mu_prod")
+    fired_paths = paths(df, part, lags, fuzzy=fuzzy).select("t", "path", "mu_prod")
     bound = len(part) ** len(lags)
     hit = fired_paths.join(small(total, bound), "path").withColumn("m", F.col("mu_prod") * F.col("ps"))
     # The sum over a target's paths is needed beside each of them: they come from one row, so it's small.

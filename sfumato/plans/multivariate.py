@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sfumato.operators.fuzzify import fired, maximum
-from sfumato.operators.partition import Partition
+from sfumato.operators.partition import MAX_SETS, Partition
 from sfumato.operators.rules import small
 from sfumato.operators.series import with_lags
 
@@ -128,6 +129,35 @@ def cluster_forecast(symbols: DataFrame, rule_table: DataFrame, target: Variable
     return j.groupBy((F.col("t") + 1).alias("target_t")).agg(F.avg(F.coalesce("mid", target.part.centroid(F.col("own")))).alias("yhat"))
 
 
+def cluster_partition(variables: Sequence[Variable], target: Variable) -> Partition:
+    """The product of the variables' sets as one partition: set number i * n2 * ... + j * ... + k has the target's set."""
+    at = next(i for i, v in enumerate(variables) if v.name == target.name)
+    sets = [replace(combo[at], name="".join(s.name for s in combo)) for combo in itertools.product(*(v.part.sets for v in variables))]
+    if len(sets) > MAX_SETS:
+        raise ValueError("too many combinations")
+    return Partition(tuple(sets), target.part.lo, target.part.hi)
+
+
+def cluster_symbols(df: DataFrame, variables: Sequence[Variable], k: int = 2) -> DataFrame:
+    """t and f: the k multivariate sets of greatest degree as (set_ix, mu), numbered as in cluster_partition.
+
+    The product of the fired sets is formed within the row, so nothing is shuffled.
+    """
+    first, *rest = variables
+    f = F.transform(first.fuzzy, lambda s: F.struct(s["mu"].alias("mu"), s["set_ix"].alias("set_ix")))
+    src = df.select("t", f.alias("f"), *(v.fuzzy.alias(f"g{i}") for i, v in enumerate(rest)))
+    def product(other: str, n: int) -> Column:
+        def pair(a: Column) -> Column:
+            return F.transform(other, lambda b: F.struct(F.least(a["mu"], b["mu"]).alias("mu"), (a["set_ix"] * n + b["set_ix"]).alias("set_ix")))
+
+        return F.flatten(F.transform("f", pair))
+
+    for i, v in enumerate(rest):
+        src = src.withColumn("f", product(f"g{i}", len(v.part)))
+    top = F.slice(F.sort_array("f", asc=False), 1, k)
+    return src.select("t", F.transform(top, lambda s: F.struct(s["set_ix"].alias("set_ix"), s["mu"].alias("mu"))).alias("f"))
+
+
 def argmax_symbols(df: DataFrame, variables: Sequence[Variable]) -> DataFrame:
     """t and the combination of each variable's set of greatest degree."""
     return df.select("t", F.array(*(maximum(v.part, v.col) for v in variables)).alias("path"))

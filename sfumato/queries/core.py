@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sfumato.queries import harness, measures, models, reshape, univariate
+from sfumato.queries import harness, measures, models, more, reshape, univariate
 
-MODULES = (univariate, measures, models, harness, reshape)
+MODULES = (univariate, measures, models, more, harness, reshape)
 
 
 def queries() -> dict:

@@ -98,7 +98,7 @@ def test_wide_cells(spark):
         _row(1, 2, 3, "R-MSE", 3.0),
     ]
     got = {r["run"]: (r["rmse"], r["size"], r["rmse__id"], r["size__id"]) for r in _widen(spark, rows, provenance="id").collect()}
-    assert got == {1: (3.0, 7, 3, 4), 2: (None,) * 4, 3: (None,) * 4, None: (None, 3, None, 7), 4: (None,) * 4}
+    assert got == {1: (3.0, 7, 3, 4), 2: (None,) * 4, 3: (None,) * 4, None: (None, 3, None, 7), 4: (None, None, None, 10)}
 
 
 def test_wide_many_entities_over_batches(spark):
