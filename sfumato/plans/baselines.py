@@ -98,6 +98,14 @@ def quantile_ar(df: DataFrame, tau: float, p: int = 1, steps: int = 14) -> np.nd
     """
     o = with_lags(df.select("t", "x"), ["x"], range(1, p + 1)).where(F.col(f"x_{p}").isNotNull())
     cols = [F.col(f"x_{k}") for k in range(1, p + 1)]
+    o = o.select("x", *cols).persist()
+    try:
+        return _quantile_newton(o, cols, tau, steps)
+    finally:
+        o.unpersist()
+
+
+def _quantile_newton(o: DataFrame, cols: Sequence[Column], tau: float, steps: int) -> np.ndarray:
     beta, sigma, n = least_squares(o, cols, F.col("x"))
     if not n or sigma == 0:
         return beta

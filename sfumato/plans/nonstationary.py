@@ -7,6 +7,7 @@ feeds its own errors back and is sequential within a series: rows stream through
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -121,47 +122,57 @@ def forecast(df: DataFrame, m: Moving, rule_table: DataFrame, lags: Sequence[int
 
 
 class Conditional:
-    """State of one series: residual memory and the last excesses beyond the universe."""
+    """State of one series: residual memory and the last excesses beyond the universe.  Triangles only.
+
+    A step handles few numbers, so it is plain Python rather than arrays.
+    """
 
     def __init__(self, part: Partition, mids: dict[int, float], mean_residual: float, memory: int = 5):
-        self.part, self.mids, self.mean = part, mids, mean_residual
-        self.c = np.array([s.centroid for s in part.sets])
-        self.p = np.array([s.p for s in part.sets])
+        self.lo, self.hi, self.mean = part.lo, part.hi, mean_residual
+        self.c = [s.centroid for s in part.sets]
+        self.p = [s.p for s in part.sets]
+        self.mids = [mids.get(i, c) for i, c in enumerate(self.c)]
         self.low, self.high = deque([0.0] * 3, 3), deque([0.0] * 3, 3)
         self.residuals: deque[float] = deque(maxlen=memory)
-        self.before: tuple[float, float] | None = None
+        self.before: float | None = None
+
+    def displacement(self, x: float) -> tuple[list[float], list[float]]:
+        """(location, scale) of each set.
 
-    def displacement(self, x: float) -> tuple[np.ndarray, np.ndarray]:
+        Locations are range/2 + w + bias + k for k over [-sd, sd] and w over [low, high], n steps each; the first n of that
+        list (k at its start) are the sets', and scales are distances of its neighbours two apart.
+        """
         n = len(self.c)
-        below = min(0.0, x - self.part.lo) if x < self.part.lo else 0.0
-        above = max(0.0, x - self.part.hi) if x > self.part.hi else 0.0
-        self.low.appendleft(below)
-        self.high.appendleft(above)
+        self.low.appendleft(min(0.0, x - self.lo))
+        self.high.appendleft(max(0.0, x - self.hi))
         a, b = min(self.low), max(self.high)
-        sd = float(np.std(self.residuals)) if self.residuals else 0.0
+        r = self.residuals
+        bias = sum(r) / len(r) if r else 0.0
+        sd = math.sqrt(sum((e - bias) ** 2 for e in r) / len(r)) if r else 0.0
         sd = 0.0 if sd < 1 else sd
-        loc = self.mean + (float(np.mean(self.residuals)) if self.residuals else 0.0)
-        every = [(b - a) / 2 + w + loc + k for k in np.linspace(-sd, sd, n) for w in np.linspace(a, b, n)]
-        every += [every[-1]] * 2
-        scale = [abs(every[0] - every[2]), *(abs(every[k - 1] - every[k + 1]) for k in range(1, n))]
-        return np.array(every[:n]), np.array(scale[:n])
+        step = (b - a) / (n - 1) if n > 1 else 0.0
+        base = (b - a) / 2 + self.mean + bias - sd
+        loc = [base + a + k * step for k in range(n)]
+        after = base + a + (2 * sd / (n - 1) if n > 1 else 0.0)  # the list's next value: k one step on, w at its start
+        every = [*loc, after, after + step]
+        return loc, [abs(every[0] - every[2]), *(abs(every[k - 1] - every[k + 1]) for k in range(1, n))]
 
     def step(self, x: float) -> float:
         """Forecast of the value after x."""
         if self.before is not None:
-            self.residuals.append(x - self.before[1])
+            self.residuals.append(x - self.before)
         loc, scale = self.displacement(x)
-        a, b, c = self.p[:, 0] + loc - scale / 2, self.p[:, 1] + loc, self.p[:, 2] + loc + scale / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mu = np.where((x < a) | (x > c), 0.0, np.where(x < b, (x - a) / (b - a), np.where(x == b, 1.0, (c - x) / (c - b))))
-        hit = np.flatnonzero(mu > 0)
-        if not len(hit):
-            hit = np.array([0 if x < b[0] else len(self.c) - 1])
-            mu = np.ones_like(mu)
-        mids = np.array([self.mids.get(int(i), self.c[i]) + loc[i] for i in hit])
-        y = float((mu[hit] * mids).sum() / mu[hit].sum())
-        self.before = (x, y)
-        return y
+        num = den = 0.0
+        for (a, b, c), d, w, mid in zip(self.p, loc, scale, self.mids, strict=True):
+            a, b, c = a + d - w / 2, b + d, c + d + w / 2
+            if a < x < c:
+                mu = 1.0 if x == b else (x - a) / (b - a) if x < b else (c - x) / (c - b)
+                num, den = num + mu * (mid + d), den + mu
+        if not den:
+            i = 0 if x < self.p[0][1] + loc[0] else len(self.c) - 1
+            num, den = self.mids[i] + loc[i], 1.0
+        self.before = num / den
+        return self.before
 
 
 def conditional_forecast(df: DataFrame, part: Partition, rule_mids: dict[int, float], mean_residual: float, key: str = "series_id", memory: int = 5) -> DataFrame:

@@ -44,9 +44,9 @@ _tx("scale", ", m AS (SELECT min(x) AS a, max(x) AS b FROM s) SELECT t, round((x
 _tx("scale_inverse", "SELECT t, round(x, 6) AS y FROM s", lambda s: T.scale(s).withColumn("y", T.unscale(F.col("y"), F.col("x_min"), F.col("x_max"))))
 _tx("normalize", ", m AS (SELECT avg(x) AS a, stddev_pop(x) AS b FROM s) SELECT t, round((x - a) / b, 6) AS y FROM s, m", lambda s: T.normalize(s))
 _tx("boxcox", "SELECT t, round((pow(x, 0.5::DOUBLE) - 1) / 0.5::DOUBLE, 6) AS y FROM s", lambda s: s.withColumn("y", T.boxcox(F.col("x"), 0.5)))
-_tx("boxcox_log", "SELECT t, round(ln(x), 6) AS y FROM s", lambda s: s.withColumn("y", T.boxcox(F.col("x"), 0)))
+_tx("boxcox_log", "SELECT t, round(CASE WHEN x > 0 THEN ln(x) END, 6) AS y FROM s", lambda s: s.withColumn("y", T.boxcox(F.col("x"), 0)))
 _tx("boxcox_inverse", "SELECT t, round(x, 6) AS y FROM s", lambda s: s.withColumn("y", T.unboxcox(T.boxcox(F.col("x"), 0.5), 0.5)))
-_tx("roi", f"SELECT t, round(coalesce((x - lag(x) OVER {L}) / lag(x) OVER {L}, 0), 6) AS y FROM s", lambda s: T.roi(s))
+_tx("roi", f"SELECT t, round(CASE WHEN lag(x) OVER {L} IS NULL THEN 0 WHEN lag(x) OVER {L} <> 0 THEN (x - lag(x) OVER {L}) / lag(x) OVER {L} END, 6) AS y FROM s", lambda s: T.roi(s))
 _tx("roi_inverse", "SELECT t, round(x, 6) AS y FROM s", lambda s: T.unroi(T.roi(s), "y").withColumn("y", F.col("x_back")))
 _tx("moving_average", f"SELECT t, round(CASE WHEN t < 2 THEN x ELSE (lag(x, 2) OVER {L} + lag(x) OVER {L}) / 2 END, 6) AS y FROM s", lambda s: T.moving_average(s, 2))
 _tx("exponential_smoothing", "SELECT t, round(" + " + ".join([f"x * {1 / 3}::DOUBLE"] + [f"coalesce(lag(x, {k}) OVER {L}, 0) * {1 / 3 * (1 - 1 / 3)**k}::DOUBLE" for k in range(1, 5)]) + ", 6) AS y FROM s", lambda s: T.exponential_smoothing(s, 5, 1 / 3))
@@ -73,8 +73,8 @@ def _chen(spark, d):
 
 _Y = TRANS + ", " + _RULE_SQL["chen"] + ", fc AS (SELECT a.t + 1 AS target_t, coalesce(m.mid, a.c) AS f FROM a LEFT JOIN m ON m.i = a.set_ix), yy AS (SELECT target_t, f, s.x AS y FROM fc JOIN s ON s.t = fc.target_t) "
 _POINT = {
-    "rmse": "sqrt(avg((y - f) * (y - f)))", "nrmse": "sqrt(avg((y - f) * (y - f))) / (max(y) - min(y))", "mae": "avg(abs(y - f))", "mape": "avg(abs((y - f) / y)) * 100",
-    "smape1": "avg(abs(y - f) / ((abs(y) + abs(f)) / 2))", "smape2": "avg(abs(y - f) / (abs(y) + abs(f))) * 100", "smape3": "sum(abs(y - f)) / sum(y + f)",
+    "rmse": "sqrt(avg((y - f) * (y - f)))", "nrmse": "sqrt(avg((y - f) * (y - f))) / (max(y) - min(y))", "mae": "avg(abs(y - f))", "mape": "avg(abs((y - f) / nullif(y, 0))) * 100",
+    "smape1": "avg(abs(y - f) / nullif((abs(y) + abs(f)) / 2, 0))", "smape2": "avg(abs(y - f) / nullif(abs(y) + abs(f), 0)) * 100", "smape3": "sum(abs(y - f)) / sum(y + f)",
     "theil_inequality": "sqrt(sum((y - f) * (y - f))) / (sqrt(sum(y * y)) + sqrt(sum(f * f)))",
 }
 
@@ -205,8 +205,8 @@ _K = {
     "exponential": "0.5::DOUBLE * exp(-abs(u))",
 }
 for _k, _e in _K.items():
-    query(f"WITH {S}, k AS (SELECT CAST(i AS INTEGER) AS bin_ix, i * (500.0::DOUBLE / 19) AS bin FROM range(0, 20) r(i)), e AS (SELECT bin_ix, bin, (bin - x) / 20 AS u FROM k, s) SELECT bin_ix, round(sum({_e}) / (count(*) * 20), 6) AS density FROM e GROUP BY bin_ix", f"kde_{_k}")(
-        lambda spark, d, k=_k: rounded(D.kde(series(spark, d), "x", 20.0, 0.0, 500.0, 20, k).select("bin_ix", "density"), "density"))
+    query(f"WITH {S}, k AS (SELECT CAST(i AS INTEGER) AS bin_ix, i * (500.0::DOUBLE / 19) AS bin FROM range(0, 20) r(i)), e AS (SELECT bin_ix, bin, (bin - x) / 20 AS u FROM k, s) SELECT bin_ix, round(sum({_e}) / (count(*) * 20), 9) AS density FROM e GROUP BY bin_ix", f"kde_{_k}")(
+        lambda spark, d, k=_k: D.kde(series(spark, d), "x", 20.0, 0.0, 500.0, 20, k).select("bin_ix", F.round("density", 9).alias("density")))
 assert set(_K) == set(KERNELS)
 
 

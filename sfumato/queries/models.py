@@ -189,8 +189,10 @@ def cluster_grid(spark, d):
 
 # Non-stationary.
 _NS = f"""WITH {S}, {sets_sql(6)}, k AS (SELECT t, x, 0.001::DOUBLE * (t - t % 100) AS dl FROM s),
-f AS (SELECT t, dl, set_ix, c, p, 1 - abs(x - (c + dl)) / p AS mu FROM k, g WHERE 1 - abs(x - (c + dl)) / p > 0 UNION ALL
-      SELECT t, dl, CASE WHEN x < lo + dl THEN 0 ELSE 5 END, CASE WHEN x < lo + dl THEN lo ELSE lo + 5 * p END, p, 1 FROM k, (SELECT min(lo) AS lo, min(p) AS p FROM g) WHERE x <= lo - p + dl OR x >= lo + 6 * p + dl)"""
+m0 AS (SELECT t, dl, set_ix, c, p, CASE WHEN x < (c - p) + dl OR x > (c + p) + dl THEN 0 WHEN x < c + dl THEN (x - ((c - p) + dl)) / ((c + dl) - ((c - p) + dl)) WHEN x = c + dl THEN 1
+      ELSE (((c + p) + dl) - x) / (((c + p) + dl) - (c + dl)) END AS mu FROM k, g),
+f AS (SELECT * FROM m0 WHERE mu > 0 UNION ALL
+      SELECT t, dl, CASE WHEN x < lo + dl THEN 0 ELSE 5 END, CASE WHEN x < lo + dl THEN lo ELSE lo + 5 * p END, p, 1.0::DOUBLE FROM k, (SELECT min(lo) AS lo, min(p) AS p FROM g) WHERE t NOT IN (SELECT t FROM m0 WHERE mu > 0))"""
 
 
 def _moving(s: DataFrame) -> ns.Moving:
