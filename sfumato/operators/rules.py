@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sfumato.operators.fuzzify import fired, maximum
+from sfumato.operators.fuzzify import maximum, with_fired
 from sfumato.operators.partition import Partition
 from sfumato.operators.series import with_lags
 
@@ -66,7 +66,10 @@ def paths(
     The target t is forecast from x at t - o for each lag o.  Without rhs the step after the last row is a target too.
     Each row explodes to at most 2 ** order paths on a grid of triangles; nothing is shuffled after the lags.
     """
-    src = df.select(*keys, "t", (fired(part, F.col(x), alpha) if fuzzy is None else fuzzy).alias("f"))
+    if fuzzy is None:
+        src = with_fired(df.select(*keys, "t", F.col(x).alias("_x")), part, "_x", "f", alpha).select(*keys, "t", "f")
+    else:
+        src = df.select(*keys, "t", fuzzy.alias("f"))
     if not rhs:  # one more target after the end, to be forecast; grouping by key combines on the map side
         end = src.groupBy(*keys).agg((F.max("t") + 1).alias("t")) if keys else src.agg((F.max("t") + 1).alias("t"))
         src = src.unionByName(end.withColumn("f", F.lit(None).cast(src.schema["f"].dataType)))

@@ -50,9 +50,14 @@ def with_lags(
     b = F.floor(F.col(t) / block).cast("long")
     place = F.pmod(F.col(t), F.lit(block))
     # A row serves the next block if it lies in the last `back` places, the block before if in the first `ahead`.
-    homes = F.array_compact(F.array(
-        b, F.when(place >= block - back, b + 1) if back else F.lit(None).cast("long"),
-        F.when(place < ahead, b - 1) if ahead else F.lit(None).cast("long")))
+    # Plain branches rather than array functions, so that the projection is compiled.
+    homes = F.array(b)
+    if back:
+        homes = F.when(place >= block - back, F.array(b, b + 1)).otherwise(homes)
+    if ahead:
+        homes = F.when(place < ahead, F.array(b, b - 1)).otherwise(homes)
+    if back and ahead and back + ahead > block:
+        raise ValueError("lags and leads together exceed the block")
     rows = df.withColumn("_block", F.explode(homes)) if back or ahead else df.withColumn("_block", b)
     w = Window.partitionBy(*keys, "_block").orderBy(t)
     out = rows

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sfumato.operators.fuzzify import fired, maximum
+from sfumato.operators.fuzzify import maximum, with_fired
 from sfumato.operators.partition import MAX_SETS, Partition
 from sfumato.operators.rules import small
 from sfumato.operators.series import with_lags
@@ -24,9 +24,13 @@ class Variable:
     part: Partition
     alpha: float = 0.0
 
-    @property
-    def fuzzy(self) -> Column:
-        return fired(self.part, self.col, self.alpha)
+
+def _fuzzy(df: DataFrame, variables: Sequence[Variable], keep: Sequence[str]) -> DataFrame:
+    """keep and f0, f1, ...: the fired sets of each variable."""
+    src = df.select(*keep, *(v.col.alias(f"_v{i}") for i, v in enumerate(variables)))
+    for i, v in enumerate(variables):
+        src = with_fired(src, v.part, f"_v{i}", f"f{i}", v.alpha)
+    return src.select(*keep, *(f"f{i}" for i in range(len(variables))))
 
 
 def size(variables: Sequence[Variable]) -> int:
@@ -38,7 +42,7 @@ def size(variables: Sequence[Variable]) -> int:
 
 def combos(df: DataFrame, variables: Sequence[Variable], keep: Sequence[str]) -> DataFrame:
     """keep, path (array of sets by variable), mu, own (the target's set if the first variable is the target)."""
-    src = df.select(*keep, *(v.fuzzy.alias(f"f{i}") for i, v in enumerate(variables)))
+    src = _fuzzy(df, variables, keep)
     for i in range(len(variables)):
         src = src.withColumn(f"s{i}", F.explode(f"f{i}"))
     mu = F.least(*(F.col(f"s{i}.mu") for i in range(len(variables)))) if len(variables) > 1 else F.col("s0.mu")
@@ -47,7 +51,8 @@ def combos(df: DataFrame, variables: Sequence[Variable], keep: Sequence[str]) ->
 
 def rules(df: DataFrame, variables: Sequence[Variable], target: Variable, weighted: bool = False, h: int = 1) -> DataFrame:
     """path, mid, lower, upper, n over the target's sets h rows later."""
-    src = with_lags(df.withColumn("_g", target.fuzzy), ["_g"], [-h]) if h else df.withColumn("_g_0", target.fuzzy)
+    own = with_fired(df.withColumn("_t", target.col), target.part, "_t", "_g", target.alpha)
+    src = with_lags(own, ["_g"], [-h]) if h else own.withColumn("_g_0", F.col("_g"))
     src = src.where(F.col(f"_g_{-h}").isNotNull())
     seen = combos(src, variables, ["t", f"_g_{-h}"]).select("path", F.explode(f"_g_{-h}").alias("g"))
     seen = seen.groupBy("path", F.col("g.set_ix").alias("j")).agg(F.count(F.lit(1)).alias("n"))
@@ -143,9 +148,9 @@ def cluster_symbols(df: DataFrame, variables: Sequence[Variable], k: int = 2) ->
 
     The product of the fired sets is formed within the row, so nothing is shuffled.
     """
-    first, *rest = variables
-    f = F.transform(first.fuzzy, lambda s: F.struct(s["mu"].alias("mu"), s["set_ix"].alias("set_ix")))
-    src = df.select("t", f.alias("f"), *(v.fuzzy.alias(f"g{i}") for i, v in enumerate(rest)))
+    rest = variables[1:]
+    f = F.transform("f0", lambda s: F.struct(s["mu"].alias("mu"), s["set_ix"].alias("set_ix")))
+    src = _fuzzy(df, variables, ["t"]).select("t", f.alias("f"), *(F.col(f"f{i + 1}").alias(f"g{i}") for i in range(len(rest))))
     def product(other: str, n: int) -> Column:
         def pair(a: Column) -> Column:
             return F.transform(other, lambda b: F.struct(F.least(a["mu"], b["mu"]).alias("mu"), (a["set_ix"] * n + b["set_ix"]).alias("set_ix")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sfumato.functions.scalars import SEASONS, date_part
-from sfumato.operators.fuzzify import fired, maximum
+from sfumato.operators.fuzzify import maximum, with_fired
 from sfumato.operators.partition import Partition
 from sfumato.operators.rules import small
 from sfumato.operators.series import with_lags
@@ -52,7 +52,9 @@ def seasonal_forecast(df: DataFrame, rules: DataFrame, seasons: Sequence[str], r
 
 def contextual_rules(df: DataFrame, part: Partition, season: str, alpha: float = 0.0) -> DataFrame:
     """season, lhs, total, n: sum and number of the distinct successors' centroids, by the successor's season."""
-    f = df.select("t", F.col(season).alias("season"), F.filter(fired(part, F.col("x")), lambda s: s["mu"] > alpha).alias("f"))
+    f = with_fired(df.select("t", F.col(season).alias("season"), "x"), part, "x", "f").drop("x")
+    if alpha > 0:
+        f = f.withColumn("f", F.filter("f", lambda s: s["mu"] > alpha))
     o = with_lags(f, ["f", "season"], [-1]).where(F.col("f_-1").isNotNull())
     pairs = o.select(F.col("season_-1").alias("season"), F.explode("f.set_ix").alias("lhs"), F.col("f_-1").alias("g")).select("season", "lhs", F.explode("g.set_ix").alias("rhs"))
     return pairs.distinct().groupBy("season", "lhs").agg(F.sum(part.centroid(F.col("rhs"))).alias("total"), F.count(F.lit(1)).alias("n"))
@@ -61,7 +63,8 @@ def contextual_rules(df: DataFrame, part: Partition, season: str, alpha: float =
 def contextual_forecast(df: DataFrame, part: Partition, rules: DataFrame, season: str, alpha: float = 0.0, rows: int = 1_000_000) -> DataFrame:
     """target_t, yhat: mean over the successors of all fired sets in the row's season; a set without rule gives its own
     centroid, a season without any rule NULL."""
-    f = df.select("t", F.col(season).alias("season"), F.explode(F.filter(fired(part, F.col("x")), lambda s: s["mu"] > alpha)["set_ix"]).alias("lhs"))
+    f = with_fired(df.select("t", F.col(season).alias("season"), "x"), part, "x", "f")
+    f = f.select("t", "season", F.explode("f").alias("s")).where(F.col("s.mu") > alpha).select("t", "season", F.col("s.set_ix").alias("lhs"))
     known = rules.select("season").distinct().withColumn("known", F.lit(True))
     j = f.join(small(rules, rows), ["season", "lhs"], "left").join(small(known, rows), "season", "left")
     total = F.sum(F.coalesce("total", part.centroid(F.col("lhs"))))
