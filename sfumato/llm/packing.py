@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Items of one random group; a task packs whole groups.
 GROUP_ITEMS = 4096
+#: Kinds of containers; every item meets each of them.
+MAX_KINDS = 1_000
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -55,12 +57,13 @@ def pack(
 ) -> DataFrame:
     """One row a piece: container kind, capacity, id, piece, offset of the piece, its size, and the bin it lies in.
 
-    containers is a small table, broadcast after a check of its size.  n_items, if known, saves a count of the items.
+    containers is a table of at most MAX_KINDS kinds; more raise.  n_items, if known, saves a count of the items.
     """
     size_id, capacity = container_cols
-    kinds = containers.select(size_id, F.col(capacity).cast("long").alias(capacity)).where(F.col(capacity) >= 1)
-    if len(kinds.head(10_001)) > 10_000:
-        raise ValueError("more than 10,000 kinds of containers")
+    kinds = containers.select(F.col(size_id).alias("a"), F.col(capacity).cast("long").alias("b")).where(F.col("b") >= 1).distinct().head(MAX_KINDS + 1)
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    kind_type = T.ArrayType(T.StructType([T.StructField("a", containers.schema[size_id].dataType), T.StructField("b", T.LongType())]))
     if n_items is None:
         n_items = items.count()
     groups = max(1, -(-n_items // group_items))
@@ -68,8 +71,9 @@ def pack(
     src = items.select(F.col(id_col), size.alias("_size"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(groups)).cast("int").alias("_group"))
     # Repeated rows are items of their own, told apart by a copy number.
     src = src.groupBy(id_col, "_size", "_group").agg(F.count(F.lit(1)).alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
-    # One row an item and kind of container; the pairing is by a constant, with the few kinds broadcast.
-    both = src.withColumn("_one", F.lit(1)).join(F.broadcast(kinds.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # One row an item and kind of container: the few kinds are literals, so there is no join.
+    literals = F.array(*(F.struct(F.lit(k["a"]).alias("a"), F.lit(k["b"]).alias("b")) for k in kinds)).cast(kind_type) if kinds else F.array().cast(kind_type)
+    both = src.withColumn("_k", F.explode(literals)).select("*", F.col("_k.a").alias(size_id), F.col("_k.b").alias(capacity)).drop("_k")
     full = F.expr(f"CASE WHEN _size > {capacity} THEN _size div {capacity} ELSE 0L END")
     both = both.withColumn("_full", full).withColumn("_rest", F.col("_size") - F.col("_full") * F.col(capacity))
     whole = both.where(F.col("_full") > 0).select(
