@@ -66,6 +66,14 @@ def interval(df: DataFrame, keys: Sequence[str] = (), taus: Sequence[float] = (0
     ])
 
 
+def interval_midpoint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """rmse_interval and mape_interval of the interval's middle; the latter is relative to the forecast."""
+    mid = (F.col("lower") + F.col("upper")) / 2
+    e = F.col("y") - mid
+    d = df.where(F.col("y").isNotNull() & mid.isNotNull())
+    return _agg(d, keys, [F.sqrt(F.avg(e * e)).alias("rmse_interval"), (F.avg(F.abs(F.try_divide(e, mid))) * 100).alias("mape_interval")])
+
+
 def distribution(actual: DataFrame, dist: DataFrame, n_bins: int, lo: float, hi: float) -> DataFrame:
     """crps, brier and log_score from actual (target_t, y) and dist (target_t, bin_ix, bin, density).
 
@@ -161,6 +169,21 @@ def friedman_aligned(df: DataFrame, block: str = "dataset", item: str = "model",
     return diff.join(ranks, "_d").groupBy(item).agg(F.sum("_r").alias("rank_sum"), F.avg("_r").alias("mean_rank"))
 
 
+def friedman(df: DataFrame, block: str = "dataset", item: str = "model", value: str = "value") -> dict[str, float]:
+    """Friedman's statistic over the blocks that hold every item, and its p-value; ranks are means for equal values."""
+    items = df.select(item).distinct().count()
+    w = Window.partitionBy(block)
+    r = df.withColumns({
+        "_r": F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(block, value)) - 1) / 2.0,
+        "_k": F.count(F.lit(1)).over(w)}).where(F.col("_k") == items)
+    sums = r.groupBy(item).agg(F.sum("_r").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    n, k = (sums[0]["n"] if sums else 0), items
+    if not n or k < 2:
+        return {"blocks": 0, "statistic": 0.0, "p": 1.0}
+    q = 12 / (n * k * (k + 1)) * sum(x["s"] ** 2 for x in sums) - 3 * n * (k + 1)
+    return {"blocks": n, "statistic": q, "p": chi2_sf(q, k - 1)}
+
+
 def post_hoc(p_values: dict[str, float], method: str = "holm") -> dict[str, float]:
     """Adjusted p-values of comparisons with a control: 'bonferroni', 'holm' or 'finner'."""
     k = len(p_values)

@@ -9,6 +9,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sfumato.operators.measures import actuals, point
+from sfumato.operators.partition import grid
+from sfumato.plans import multivariate as mv
 from sfumato.plans.experiment import windowed_benchmarks
 
 
@@ -119,6 +122,44 @@ def grid_search(df: DataFrame, partitions: Sequence[int], lags: Sequence[tuple[i
     return sorted(evaluate(df, every, **windows), key=lambda p: (p.f1, p.f2))
 
 
+@dataclass(frozen=True)
+class Composite:
+    """A multivariate individual: (variable, partitions) pairs, the target among them, and its fitness."""
+
+    variables: tuple[tuple[str, int], ...]
+    f1: float | None = None
+    f2: float | None = None
+
+
+def evaluate_multivariate(df: DataFrame, individual: Composite, target: str, split: float = 0.8) -> Composite:
+    """Fits on the first share of the times and tests on the rest; a plan over all rows, whose result is one row."""
+    end = df.agg(F.max("t").alias("b"), F.min("t").alias("a")).head()
+    cut = end["a"] + (end["b"] - end["a"]) * split
+    vs = [mv.Variable(c, F.col(c), grid(df, c, n)) for c, n in individual.variables]
+    own = next(v for v in vs if v.name == target)
+    rules = mv.rules(df.where(F.col("t") <= cut), vs, own, weighted=True)
+    fc = mv.forecast(df.where(F.col("t") > cut), vs, own, rules)
+    m = point(actuals(df.withColumn("x", F.col(target)), fc)).head()
+    size = rules.count()
+    return replace(individual, f1=m["rmse"] if m["rmse"] is not None else float("inf"), f2=0.9 * size + 0.1 * sum(n for _, n in individual.variables))
+
+
+def multivariate_search(df: DataFrame, target: str, others: Sequence[str], steps: int = 10, seed: int = 7) -> Composite:
+    """Random search over subsets of variables and their numbers of sets; better by (f1, f2) is kept."""
+    rng = random.Random(seed)
+
+    def draw(base: Composite | None) -> Composite:
+        n = lambda c: max(3, min(30, dict(base.variables).get(c, 10) + round(rng.gauss(0, 4)))) if base else rng.randint(3, 15)
+        chosen = [c for c in others if rng.random() < 0.5]
+        return Composite(((target, n(target)), *((c, n(c)) for c in chosen)))
+
+    best = evaluate_multivariate(df, draw(None), target)
+    for _ in range(steps):
+        new = evaluate_multivariate(df, draw(best), target)
+        best = min(best, new, key=lambda p: (p.f1, p.f2))
+    return best
+
+
 def as_frame(df: DataFrame, population: Sequence[Individual]) -> DataFrame:
     rows = [(p.method, p.partitions, ",".join(map(str, p.lags)), p.alpha, p.f1, p.f2, p.rmse, p.size) for p in population]
     return df.sparkSession.createDataFrame(rows, "method string, partitions int, lags string, alpha double, f1 double, f2 double, rmse double, size double")

@@ -8,9 +8,11 @@ from sfumato.functions.scalars import date_part
 from sfumato.operators import partition as P
 from sfumato.operators.entries import entries, measure_key, valid
 from sfumato.operators.rules import indexed
-from sfumato.plans import ahead, ensemble, high_order, model, som
+from sfumato.operators import measures as M
+from sfumato.plans import ahead, ensemble, experiment, high_order, model, search, som
 from sfumato.plans import multivariate as mv
 from sfumato.queries.base import FUZZY, S, rounded, series
+from sfumato.queries.measures import SQL as MEASURES
 from sfumato.queries.models import _ENS, _dense_panel, _members, _mv
 from sfumato.queries.models import SQL as MODELS
 from sfumato.queries.univariate import _OUT, _RULE_SQL, TRANS
@@ -153,3 +155,35 @@ def clustered_weighted(spark, d):
 def clustered_distribution(spark, d):
     s, p, f = _clustered(spark, d)
     return rounded(high_order.pwfts_distribution(s, p, high_order.pwfts_rules(s, p, (1,), fuzzy=f), (1,), 20, fuzzy=f), "density")
+
+
+@query()
+def multivariate_search(spark, d):
+    s, _, _ = _mv(spark, d)
+    best = search.multivariate_search(s.select("t", "x", "h"), "x", ["h"], steps=3)
+    return spark.createDataFrame([(",".join(f"{c}:{n}" for c, n in best.variables), best.f1, best.f2)], "variables string, f1 double, f2 double")
+
+
+@query(MEASURES["interval_measures"].split("SELECT round(avg(up - lo)")[0] + "SELECT round(sqrt(avg(pow(y - (lo + up) / 2, 2))), 6) AS rmse_interval, round(avg(abs((y - (lo + up) / 2) / nullif((lo + up) / 2, 0))) * 100, 6) AS mape_interval FROM yy")
+def interval_midpoint(spark, d):
+    s = series(spark, d)
+    p = P.grid(s, "x", 6)
+    fc = high_order.forecast(s, p, high_order.rules(s, p, (1, 2), True), (1, 2))
+    return rounded(M.interval_midpoint(M.actuals(s, fc)), "rmse_interval", "mape_interval")
+
+
+@query("""WITH b AS (SELECT DISTINCT id, dataset, model, value FROM benchmarks WHERE lower(regexp_replace(measure, '[^\\p{L}\\p{N}]', '', 'g')) = 'rmse' AND isfinite(value) AND dataset IS NOT NULL AND model IN ('PWFTS', 'HOFTS', 'WHOFTS', 'CFTS')),
+m AS (SELECT dataset, model, min(value) AS v FROM b GROUP BY dataset, model), r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY v) + (count(*) OVER (PARTITION BY dataset, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY dataset) AS k FROM m),
+s AS (SELECT model, sum(r) AS s, count(*) AS n FROM r WHERE k = 4 GROUP BY model) SELECT max(n) AS blocks, round(12.0::DOUBLE / (max(n) * 20) * sum(s * s) - 15 * max(n), 6) AS statistic FROM s""")
+def friedman(spark, d):
+    b = table(spark, d, "benchmarks").where((measure_key("measure") == "rmse") & valid("value") & F.col("dataset").isNotNull() & F.col("model").isin("PWFTS", "HOFTS", "WHOFTS", "CFTS"))
+    m = entries(b, "dataset", "model", "value").groupBy("dataset", "model").agg(F.min("value").alias("value"))
+    r = M.friedman(m)
+    return rounded(spark.createDataFrame([(r["blocks"], float(r["statistic"]))], "blocks bigint, statistic double"), "statistic")
+
+
+@query()
+def best_config(spark, d):
+    configs = [{"method": m, "partitions": n} for m in ("chen", "yu") for n in (5, 10, 20)]
+    b = experiment.windowed_benchmarks(series(spark, d), 500, configs)
+    return rounded(experiment.best_config(b.where(~F.isnan("rmse"))), "rmse")
