@@ -67,9 +67,12 @@ def dominant(ranked: DataFrame, group: str, item: str, scores: Sequence[str], le
     """First-ranked items that are lower than every other item of their group in all scores, by more than margin
     (absolute); an exact check of candidates that the ranking puts at the ideal point."""
     w = Window.partitionBy(group)
-    df = ranked.select(group, item, "d_ideal", "rnk", *scores, F.count(F.lit(1)).over(w).alias("_n"), *(
-        F.slice(F.sort_array(F.collect_list(s).over(w)), 1, 2).alias(f"_two_{s}") for s in scores))
+    second = lambda c: F.nth_value(c, 2).over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    df = ranked.select(
+        group, item, "d_ideal", "rnk", *scores, F.count(F.lit(1)).over(w).alias("_n"), *(F.min(s).over(w).alias(f"_low_{s}") for s in scores),
+        *(second(s).alias(f"_next_{s}") for s in scores),
+    )
     keep = (F.col("_n") >= least_items) & (F.col("rnk") == 1) & (F.col("d_ideal") == 0)
     for s in scores:  # the second lowest is the lowest of the others
-        keep = keep & (F.col(s) == F.col(f"_two_{s}")[0]) & (F.col(f"_two_{s}")[1] - F.col(s) > margin)
+        keep = keep & (F.col(s) == F.col(f"_low_{s}")) & (F.col(f"_next_{s}") - F.col(s) > margin)
     return df.where(keep).select(group, item)
