@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,26 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started.
+
+    Nothing is done where the workers' PYTHONPATH has it.  On one machine they are told the path; executors elsewhere get the
+    package as an archive from the driver.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_sfumato_shipped", False):
+        return
+    if sc.master == "local" or sc.master.startswith("local["):
+        known = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in known:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    else:
+        folder = tempfile.mkdtemp(prefix="sfumato-package-")
+        sc.addPyFile(shutil.make_archive(f"{folder}/sfumato", "zip", root, "sfumato"))
+    sc._sfumato_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that long lineages survive the loss of executors.
 
