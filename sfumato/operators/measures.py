@@ -160,9 +160,10 @@ def residuals(df: DataFrame, lags: int = 10, alpha: float = 0.05) -> dict[str, f
 def friedman_aligned(df: DataFrame, block: str = "dataset", item: str = "model", value: str = "value") -> DataFrame:
     """item, rank_sum, mean_rank: aligned ranks over all blocks, equal values share their mean rank.
 
+    Differences are equal if they agree in six decimals, so that ranks don't depend on the order in which a mean was summed.
     Values are counted before they are ranked, so only the distinct differences are in the ranking window.
     """
-    diff = df.withColumn("_d", F.round(F.col(value) - F.avg(value).over(Window.partitionBy(block)), 12))
+    diff = df.withColumn("_d", F.round(F.col(value) - F.avg(value).over(Window.partitionBy(block)), 6))
     counts = diff.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
     run = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_d"))
     ranks = counts.select("_d", (run - (F.col("_n") - 1) / 2).alias("_r"))

@@ -221,15 +221,15 @@ def mixture(spark, d):
     return rounded(D.mixture([(0.7, _hist(spark, d)), (0.3, D.from_point(spark, 100.0, 0.0, 500.0, 50))]).select("bin_ix", "density"), "density")
 
 
-_BM = "b AS (SELECT DISTINCT id, dataset, model, value FROM benchmarks WHERE lower(regexp_replace(measure, '[^\\p{L}\\p{N}]', '', 'g')) = 'rmse' AND isfinite(value) AND dataset IS NOT NULL), m AS (SELECT dataset, model, avg(value) AS v FROM b GROUP BY dataset, model)"
+_BM = "b AS (SELECT DISTINCT id, dataset, model, value FROM benchmarks WHERE lower(regexp_replace(measure, '[^\\p{L}\\p{N}]', '', 'g')) = 'rmse' AND isfinite(value) AND dataset IS NOT NULL), m AS (SELECT dataset, model, min(value) AS v FROM b GROUP BY dataset, model)"
 
 
-@query(f"WITH {_BM}, e AS (SELECT dataset, model, round(v - avg(v) OVER (PARTITION BY dataset), 12) AS e FROM m), r AS (SELECT model, (rank() OVER (ORDER BY e) + rank() OVER (ORDER BY e) + count(*) OVER (PARTITION BY e) - 1) / 2.0::DOUBLE AS r FROM e) SELECT model, round(avg(r), 1) AS mean_rank FROM r GROUP BY model")
+@query(f"WITH {_BM}, e AS (SELECT dataset, model, round(v - avg(v) OVER (PARTITION BY dataset), 6) AS e FROM m), r AS (SELECT model, (rank() OVER (ORDER BY e) + rank() OVER (ORDER BY e) + count(*) OVER (PARTITION BY e) - 1) / 2.0::DOUBLE AS r FROM e) SELECT model, round(avg(r), 1) AS mean_rank FROM r GROUP BY model")
 def friedman_aligned(spark, d):
     from sfumato.operators.entries import entries, measure_key, valid
 
     b = table(spark, d, "benchmarks").where((measure_key("measure") == "rmse") & valid("value") & F.col("dataset").isNotNull())
-    m = entries(b, "dataset", "model", "value").groupBy("dataset", "model").agg(F.avg("value").alias("value"))
+    m = entries(b, "dataset", "model", "value").groupBy("dataset", "model").agg(F.min("value").alias("value"))
     return M.friedman_aligned(m).select("model", F.round("mean_rank", 1).alias("mean_rank"))
 
 
