@@ -165,6 +165,35 @@ def classify_softmax(spark, d):
     return rounded(mv.classify(s, vs, mv.class_rules(s, vs, "cls"), activation="softmax"), "p")
 
 
+# Over every row: a key that repeats is told apart by its values, equal rows are counted.
+_CLS_ALL = f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_returnflag AS cls FROM lineitem),
+{sets_sql(5, "s", "q", "q")}, {sets_sql(5, "s", "d", "d")},
+sq AS (SELECT DISTINCT q FROM s), sd AS (SELECT DISTINCT d FROM s),
+fq AS (SELECT q, set_ix, 1 - abs(q - c) / p AS mu FROM sq, gq WHERE 1 - abs(q - c) / p > 0), fd AS (SELECT d, set_ix, 1 - abs(d - c) / p AS mu FROM sd, gd WHERE 1 - abs(d - c) / p > 0),
+co AS (SELECT fq.q, fd.d, fq.set_ix || '-' || fd.set_ix AS path, least(fq.mu, fd.mu) AS mu FROM fq, fd),
+sh AS (SELECT path, cls, count(*) / sum(count(*)) OVER (PARTITION BY path) AS share FROM s JOIN co ON co.q = s.q AND co.d = s.d GROUP BY path, cls),
+sc AS (SELECT co.q, co.d, sh.cls, sum(sh.share * co.mu) AS score FROM co JOIN sh ON sh.path = co.path GROUP BY co.q, co.d, sh.cls),
+n AS (SELECT l_orderkey, l_linenumber, q, d, count(*) AS n FROM s GROUP BY 1, 2, 3, 4)"""
+
+
+def _classified(spark, d, activation):
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_returnflag").alias("cls"))
+    vs = [mv.Variable("q", F.col("q"), P.grid(s, "q", 5)), mv.Variable("d", F.col("d"), P.grid(s, "d", 5))]
+    keys = ["l_orderkey", "l_linenumber", "q", "d"]
+    rows = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.struct(*keys, "n"))
+    return rounded(mv.classify(rows, vs, mv.class_rules(s, vs, "cls"), "row", activation), "p").select("row.*", "class", "p")
+
+
+@query(_CLS_ALL + " SELECT l_orderkey, l_linenumber, q, d, n, cls AS class, round(score / sum(score) OVER (PARTITION BY l_orderkey, l_linenumber, q, d), 6) AS p FROM n JOIN sc USING (q, d)")
+def classify_scale_all(spark, d):
+    return _classified(spark, d, "scale")
+
+
+@query(_CLS_ALL + " SELECT l_orderkey, l_linenumber, q, d, n, cls AS class, round(exp(score) / sum(exp(score)) OVER (PARTITION BY l_orderkey, l_linenumber, q, d), 6) AS p FROM n JOIN sc USING (q, d)")
+def classify_softmax_all(spark, d):
+    return _classified(spark, d, "softmax")
+
+
 @query(_MV + """, ra AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY mu DESC, own DESC, path DESC) AS rn FROM co), cl AS (SELECT t, path, own, oc FROM ra WHERE rn <= 2),
 ru AS (SELECT q.path, avg(w.oc) AS mid FROM cl q JOIN cl w ON w.t = q.t + 1 GROUP BY q.path) SELECT cl.t + 1 AS target_t, round(avg(coalesce(ru.mid, cl.oc)), 6) AS yhat FROM cl LEFT JOIN ru ON ru.path = cl.path GROUP BY cl.t""")
 def clustered_mvfts(spark, d):
