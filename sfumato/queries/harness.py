@@ -209,4 +209,4 @@ def stream_drift(spark, d):
 @query()
 def stream_sessions(spark, d):
     out = online.sessions(_stream(spark, d)).select("series_id", F.col("w.start").alias("began"), "n")
-    return online.collect_stream(out, _folder(spark))
+    return online.collect_whole(out, _folder(spark))

@@ -56,7 +56,7 @@ def window_statistics(stream: DataFrame, width: str = "1 hour", late: str = "10
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", key: str = "series_id") -> DataFrame:
-    """Session windows by key."""
+    """Session windows by key.  Appended ones are closed by the watermark; `collect_whole` also gives those open at the end."""
     return stream.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -86,6 +86,20 @@ def collect_stream(df: DataFrame, folder: str, mode: str = "append") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+def collect_whole(df: DataFrame, folder: str) -> DataFrame:
+    """What an aggregated stream gives from all that is there now, with groups that the watermark hasn't closed.
+
+    Each micro-batch gives the whole result and replaces the one before.
+    """
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{folder}/out")  # for a stream without any batch
+    q = df.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = None) -> DataFrame:
     """Stream of a folder of Parquet, or of what a pattern matches."""
     r = spark.readStream.schema(like.schema)

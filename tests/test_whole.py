@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sfumato.queries import core
+from sfumato.streaming import online
 
 QUERIES = core.queries()
 
@@ -15,3 +16,19 @@ def test_every_line_is_classified(spark, data, name):
     assert got.dropDuplicates(["l_orderkey", "l_linenumber", "q", "d"]).agg(F.sum("n")).head()[0] == rows
     worst = got.groupBy("l_orderkey", "l_linenumber", "q", "d").agg(F.sum("p").alias("p")).agg(F.max(F.abs(F.col("p") - 1))).head()[0]
     assert worst < 1e-5
+
+
+def test_every_event_is_in_a_session(spark, data):
+    got = QUERIES["stream_sessions"](spark, data)
+    assert got.agg(F.sum("n")).head()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_open_sessions_of_a_stream(spark, tmp_path, files):
+    src = str(tmp_path / "in")
+    for minutes in ((0, 10, 25), (100, 110), (115, 300)):
+        rows = spark.createDataFrame([("a", m) for m in minutes], "series_id string, m int")
+        rows.select("series_id", F.timestamp_seconds(F.col("m") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(src)
+    stream = online.file_stream(spark, src, spark.read.parquet(src), files)
+    got = online.collect_whole(online.sessions(stream).select(F.unix_timestamp("w.start").alias("began"), "n"), str(tmp_path / "work"))
+    assert sorted((r["began"] // 60, r["n"]) for r in got.collect()) == [(0, 3), (100, 3), (300, 1)]
