@@ -73,14 +73,29 @@ def move(mf: str, p: Sequence[float], loc: Column, wid: Column) -> list[Column]:
 def polynomial(df: DataFrame, part: Partition, window: int, degree: int = 2) -> Moving:
     """Location and width of each set from polynomials through the windows' extremes.
 
-    The extremes are one row a window, aggregated on the map side; their fit is on the driver, over at most 10,000 windows.
+    The extremes are one row a window, aggregated on the map side.  Least squares need only sums of powers of the windows'
+    time over all of them, which is scaled to [-1, 1] for that; the driver solves equations for degree + 1 numbers.
     """
-    w = F.floor(F.col("t") / window)
-    rows = df.groupBy(w.alias("w")).agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("w").limit(10_000).collect()
-    t = np.array([r["w"] * window for r in rows], float)
-    low = np.polyfit(t, [r["a"] for r in rows], min(degree, len(t) - 1))
-    high = np.polyfit(t, [r["b"] for r in rows], min(degree, len(t) - 1))
-    low0, high0 = np.polyval(low, t[0]), np.polyval(high, t[0])
+    seen = df.where(F.col("x").isNotNull())
+    w = (F.floor(F.col("t") / window) * window).cast("double")
+    first, last = seen.agg(F.min(w), F.max(w)).head()
+    mid, half = (first + last) / 2, (last - first) / 2 or 1.0
+    u = (F.col("w") - mid) / half
+    power = lambda k: F.pow(u, F.lit(k)) if k else F.lit(1.0)
+    ends = seen.groupBy(w.alias("w")).agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    sums = ends.agg(
+        *(F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)), *(F.sum(F.col(c) * power(k)).alias(f"{c}{k}") for c in "ab" for k in range(degree + 1)),
+    ).head()
+    size = min(degree, int(sums["s0"]) - 1) + 1
+    normal = np.array([[sums[f"s{i + j}"] for j in range(size)] for i in range(size)])
+
+    def fit(c: str) -> np.ndarray:
+        scaled = np.linalg.solve(normal, [sums[f"{c}{k}"] for k in range(size)])
+        p = np.poly1d(scaled[::-1])(np.poly1d([1 / half, -mid / half])).coeffs
+        return np.pad(p, (size - len(p), 0))
+
+    low, high = fit("a"), fit("b")
+    low0, high0 = np.polyval(low, first), np.polyval(high, first)
     n = len(part)
     loc, wid = [], []
     for i in range(n):

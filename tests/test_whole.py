@@ -1,8 +1,11 @@
 """Queries do their whole job: no row, window or session is left out."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sfumato.operators import partition
+from sfumato.plans import nonstationary
 from sfumato.queries import core
 from sfumato.streaming import online
 
@@ -32,3 +35,17 @@ def test_open_sessions_of_a_stream(spark, tmp_path, files):
     stream = online.file_stream(spark, src, spark.read.parquet(src), files)
     got = online.collect_whole(online.sessions(stream).select(F.unix_timestamp("w.start").alias("began"), "n"), str(tmp_path / "work"))
     assert sorted((r["began"] // 60, r["n"]) for r in got.collect()) == [(0, 3), (100, 3), (300, 1)]
+
+
+@pytest.mark.parametrize("n,window,degree", [(25_000, 1, 2), (25_000, 1000, 2), (3000, 1000, 5), (10, 1000, 2)])
+def test_drift_is_fitted_on_every_window(spark, n, window, degree):
+    s = spark.range(n).select(F.col("id").alias("t"), (F.sin(F.col("id") / 3) + F.greatest(F.lit(0.0), F.col("id") - 10_000.0) / 500).alias("x"))
+    m = nonstationary.polynomial(s, partition.grid(s, "x", 4), window, degree)
+    x = s.toPandas().sort_values("t")["x"].to_numpy()
+    t = np.arange(0, n, window, dtype=float)
+    parts = np.split(x, range(window, n, window))
+    low, high = (np.polyfit(t, [f(p) for p in parts], min(degree, len(t) - 1)) for f in (np.min, np.max))
+    drift = lambda p: np.polyval(p, t) - np.polyval(p, t[0])
+    assert np.allclose(np.polyval(m.location[0], t), drift(low), atol=1e-6)
+    assert np.allclose(np.polyval(m.location[-1], t), drift(high), atol=1e-6)
+    assert np.allclose(np.polyval(m.width[0], t), (drift(high) - drift(low)) / 4, atol=1e-6)
