@@ -158,20 +158,20 @@ def _small(spark, d):
 @query()
 def grid_search(spark, d):
     s = _small(spark, d)
-    return search.as_frame(s, search.grid_search(s, (5, 10), ((1,), (1, 2)), size=800, inc=1.0))
+    return search.as_frame(s, search.grid_search(s, (5, 10), ((1,), (1, 2)), size=800, inc=0.2))
 
 
 @query()
 def genetic_search(spark, d):
     s = _small(spark, d)
-    best, _ = search.genetic(s, generations=2, population=4, size=800, inc=1.0)
+    best, _ = search.genetic(s, size=800, inc=0.2)
     return search.as_frame(s, [best])
 
 
 @query()
 def random_search(spark, d):
     s = _small(spark, d)
-    return search.as_frame(s, [search.random_search(s, steps=4, batch=2, size=800, inc=1.0)])
+    return search.as_frame(s, [search.random_search(s, size=800, inc=0.2)])
 
 
 # Streams.

@@ -1,11 +1,13 @@
 """Queries do their whole job: no row, window or session is left out."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sfumato.operators import partition
-from sfumato.plans import nonstationary
+from sfumato.plans import nonstationary, search
 from sfumato.queries import core
 from sfumato.streaming import online
 
@@ -49,3 +51,17 @@ def test_drift_is_fitted_on_every_window(spark, n, window, degree):
     assert np.allclose(np.polyval(m.location[0], t), drift(low), atol=1e-6)
     assert np.allclose(np.polyval(m.location[-1], t), drift(high), atol=1e-6)
     assert np.allclose(np.polyval(m.width[0], t), (drift(high) - drift(low)) / 4, atol=1e-6)
+
+
+@pytest.mark.parametrize("name,jobs,most", [("grid_search", 1, 4), ("genetic_search", 9, 20), ("random_search", 5, 5)])
+def test_searches_run_in_full_over_windows_that_tile(spark, data, monkeypatch, name, jobs, most):
+    seen = []
+
+    def evaluate(df, population, size=800, train=0.8, inc=0.2):
+        seen.append((len(population), round(size * inc), size - round(size * train)))
+        return [replace(p, f1=1.0, f2=1.0, rmse=1.0, size=1.0) for p in population]
+
+    monkeypatch.setattr(search, "evaluate", evaluate)
+    assert QUERIES[name](spark, data).count() >= 1
+    assert len(seen) >= jobs and max(n for n, _, _ in seen) == most
+    assert all(step == test for _, step, test in seen)
