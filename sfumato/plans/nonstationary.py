@@ -142,13 +142,13 @@ class Conditional:
     A step handles few numbers, so it is plain Python rather than arrays.
     """
 
-    def __init__(self, part: Partition, mids: dict[int, float], mean_residual: float, memory: int = 5):
+    def __init__(self, part: Partition, mids: dict[int, float], mean_residual: float, memory: int = 5, residuals: Sequence[float] = ()):
         self.lo, self.hi, self.mean = part.lo, part.hi, mean_residual
         self.c = [s.centroid for s in part.sets]
         self.p = [s.p for s in part.sets]
         self.mids = [mids.get(i, c) for i, c in enumerate(self.c)]
         self.low, self.high = deque([0.0] * 3, 3), deque([0.0] * 3, 3)
-        self.residuals: deque[float] = deque(maxlen=memory)
+        self.residuals: deque[float] = deque(residuals, memory)
         self.before: float | None = None
 
     def displacement(self, x: float) -> tuple[list[float], list[float]]:
@@ -176,7 +176,11 @@ class Conditional:
         """Forecast of the value after x."""
         if self.before is not None:
             self.residuals.append(x - self.before)
-        loc, scale = self.displacement(x)
+        self.before = self.value(x, *self.displacement(x))
+        return self.before
+
+    def value(self, x: float, loc: Sequence[float], scale: Sequence[float]) -> float:
+        """Forecast of the value after x by sets so displaced."""
         num = den = 0.0
         for (a, b, c), d, w, mid in zip(self.p, loc, scale, self.mids, strict=True):
             a, b, c = a + d - w / 2, b + d, c + d + w / 2
@@ -186,27 +190,68 @@ class Conditional:
         if not den:
             i = 0 if x < self.p[0][1] + loc[0] else len(self.c) - 1
             num, den = self.mids[i] + loc[i], 1.0
-        self.before = num / den
-        return self.before
+        return num / den
 
 
-def conditional_forecast(df: DataFrame, part: Partition, rule_mids: dict[int, float], mean_residual: float, key: str = "series_id", memory: int = 5) -> DataFrame:
-    """key, target_t, yhat: series are parallel, the rows of one stream in order through a state of fixed size."""
+def train_residuals(df: DataFrame, part: Partition, rule_mids: dict[int, float], key: str = "series_id", memory: int = 5) -> DataFrame:
+    """key, mean, residuals: the mean error of a first forecast over the training rows and its last `memory` errors, by series.
+
+    That forecast has no displacement; its sets are widened by 1.
+    """
+    n = len(part)
+    still, wide = [0.0] * n, [1.0] * n
+
     def run(batches):
-        state, last = None, object()
+        plain, last, before = Conditional(part, rule_mids, 0.0, memory), object(), None
+        total, count, kept = 0.0, 0, deque(maxlen=memory)
         for pdf in batches:
             out = []
-            for k, t, x in zip(pdf[key], pdf["t"], pdf["x"], strict=True):
+            for k, x in zip(pdf[key], pdf["x"], strict=True):
                 if k != last:
-                    state, last = Conditional(part, rule_mids, mean_residual, memory), k
+                    if count:
+                        out.append((last, total / count, list(kept)))
+                    last, before, total, count, kept = k, None, 0.0, 0, deque(maxlen=memory)
                 if x == x:
+                    if before is not None:
+                        total, count = total + float(x) - before, count + 1
+                        kept.append(float(x) - before)
+                    before = plain.value(float(x), still, wide)
+            yield pd.DataFrame(out, columns=[key, "mean", "residuals"])
+        if count:
+            yield pd.DataFrame([(last, total / count, list(kept))], columns=[key, "mean", "residuals"])
+
+    src = df.select(key, "t", "x").repartition(key).sortWithinPartitions(key, "t")
+    return src.mapInPandas(run, f"{key} {src.schema[key].dataType.simpleString()}, mean double, residuals array<double>")
+
+
+def conditional_forecast(df: DataFrame, part: Partition, rule_mids: dict[int, float], mean_residual: float | DataFrame, key: str = "series_id", memory: int = 5) -> DataFrame:
+    """key, target_t, yhat: series are parallel, the rows of one stream in order through a state of fixed size.
+
+    mean_residual: what `train_residuals` gives, or one number for all series, whose memories are empty then.
+    """
+    trained = isinstance(mean_residual, DataFrame)
+    given = 0.0 if trained else mean_residual
+
+    def run(batches):
+        state, last = None, object()
+        for pdf in batches:
+            out = []
+            for k, t, x, mean, kept in zip(pdf[key], pdf["t"], pdf["x"], pdf["mean"], pdf["residuals"], strict=True):
+                if k != last:
+                    state, last = Conditional(part, rule_mids, given, memory), k
+                if kept is not None:
+                    state = Conditional(part, rule_mids, mean, memory, kept)
+                elif x == x:
                     out.append((k, t + 1, state.step(float(x))))
             yield pd.DataFrame(out, columns=[key, "target_t", "yhat"])
 
-    src = df.select(key, "t", "x").repartition(key).sortWithinPartitions(key, "t")
+    src = df.select(key, F.col("t").cast("long").alias("t"), "x", F.lit(None).cast("double").alias("mean"), F.lit(None).cast("array<double>").alias("residuals"))
+    if trained:  # one row a series, before its others
+        src = src.unionByName(mean_residual.select(key, F.lit(-(2**63)).cast("long").alias("t"), F.lit(None).cast("double").alias("x"), "mean", "residuals"))
+    src = src.repartition(key).sortWithinPartitions(key, "t")
     return src.mapInPandas(run, f"{key} {src.schema[key].dataType.simpleString()}, target_t bigint, yhat double")
 
 
 def variance_forecast(df: DataFrame, part: Partition, rule_mids: dict[int, float], key: str = "series_id", memory: int = 5) -> DataFrame:
-    """Conditional-variance variant: the displacement is that of the conditional model, without a trained mean residual."""
-    return conditional_forecast(df, part, rule_mids, 0.0, key, memory)
+    """Conditional-variance variant: training and displacement are those of the conditional model."""
+    return conditional_forecast(df, part, rule_mids, train_residuals(df, part, rule_mids, key, memory), key, memory)

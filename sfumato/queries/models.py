@@ -261,7 +261,8 @@ def _mids(s: DataFrame, p: P.Partition) -> dict[int, float]:
 def nsfts_conditional(spark, d):
     s = _dense_panel(spark, d)
     p = P.grid(s, "x", 8, margin=-0.05)
-    return ns.conditional_forecast(s, p, _mids(s, p), 0.0)
+    mids = _mids(s, p)
+    return ns.conditional_forecast(s, p, mids, ns.train_residuals(s, p, mids))
 
 
 def _dense_panel(spark, d):

@@ -65,3 +65,29 @@ def test_searches_run_in_full_over_windows_that_tile(spark, data, monkeypatch, n
     assert QUERIES[name](spark, data).count() >= 1
     assert len(seen) >= jobs and max(n for n, _, _ in seen) == most
     assert all(step == test for _, step, test in seen)
+
+
+def test_conditional_model_starts_from_trained_residuals(spark):
+    rng = np.random.default_rng(3)
+    xs = {k: (base + 20 * np.sin(np.arange(120) / 5) + rng.normal(0, 4, 120)).tolist() for k, base in (("a", 40), ("b", 70))}
+    s = spark.createDataFrame([(k, t, x) for k, v in xs.items() for t, x in enumerate(v)] + [("one", 0, 50.0)], "series_id string, t bigint, x double")
+    p = partition.grid(s, "x", 6)
+    mids = {0: p.sets[1].centroid, 3: p.sets[2].centroid}
+    trained = nonstationary.train_residuals(s, p, mids)
+    got = {r["series_id"]: r for r in trained.collect()}
+    ys = {}
+    for name, f in (("given", nonstationary.conditional_forecast(s, p, mids, trained)), ("variance", nonstationary.variance_forecast(s, p, mids))):
+        ys[name] = {k: [r["yhat"] for r in f.where(F.col("series_id") == k).orderBy("target_t").collect()] for k in (*xs, "one")}
+    assert set(got) == {"a", "b"} and len(ys["given"]["one"]) == 1
+    for k, v in xs.items():
+        e = []
+        for x, after in zip(v, v[1:]):
+            mu = [max(0.0, min((x - (q.p[0] - 0.5)) / (q.p[1] - (q.p[0] - 0.5)), ((q.p[2] + 0.5) - x) / ((q.p[2] + 0.5) - q.p[1]))) for q in p.sets]
+            y = sum(m * mids.get(i, q.centroid) for i, (m, q) in enumerate(zip(mu, p.sets))) / sum(mu)
+            e.append(after - y)
+        assert np.isclose(got[k]["mean"], np.mean(e)) and np.allclose(got[k]["residuals"], e[-5:])
+        state = nonstationary.Conditional(p, mids, np.mean(e), 5, e[-5:])
+        want = [state.step(x) for x in v]
+        assert np.allclose(ys["given"][k], want) and np.allclose(ys["variance"][k], want)
+        plain = nonstationary.Conditional(p, mids, 0.0)
+        assert not np.allclose(want, [plain.step(x) for x in v])
