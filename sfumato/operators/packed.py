@@ -29,7 +29,7 @@ _BLANK = r"[\s\p{Z}]"
 _MARK = rf"[,;|/{_WIDE}]"
 _BEGIN = rf"(?<=^|[,;|/{_WIDE}\[({{\s\p{{Z}}])"
 _END = rf"(?={_BLANK}*(?:$|[,;|/{_WIDE}\])}}]))|(?={_BLANK})"
-_SPAN = rf"""{_BEGIN}(?:"(?:[^"]++|""|"(?!{_BLANK}|$|[,;|/{_WIDE}\])}}]))*"(?:{_END})|'(?:[^']++|''|'(?!{_BLANK}|$|[,;|/{_WIDE}\])}}]))*'(?:{_END}))|[{_OPEN}{_CLOSE}]"""
+_SPAN = rf"""{_BEGIN}(?:"(?:[^"]++|""|"(?!"|{_BLANK}|$|[,;|/{_WIDE}\])}}]))*"(?:{_END})|'(?:[^']++|''|'(?!'|{_BLANK}|$|[,;|/{_WIDE}\])}}]))*'(?:{_END}))|[{_OPEN}{_CLOSE}]"""
 #: Brackets around the whole list, with pairs of the same kind inside up to a depth of two; each kind goes at most twice.
 _BRACKETS = [
     rf"(?s)^{a}((?:[^{a}{b}]++|{a}(?:[^{a}{b}]++|{a}[^{a}{b}]*+{b})*{b})*){b}$" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"))
@@ -171,6 +171,6 @@ def split_packed(df: DataFrame, keys: list[str], field: str, item: str = "item",
     index = F.regexp_extract("_part", number, 1).cast("int")
     numbers = F.regexp_extract_all("_part", F.lit(number), F.lit(1))
     gaps = F.split("_part", number, -1)
-    mixed = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_spans", F.get(numbers, i).cast("int")), F.lit("")))), "")
+    mixed = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(inner(span(F.get(numbers, i).cast("int"))), F.lit("")))), "")
     value = F.when(alone, inner(span(index))).when(F.col("_part").contains(_OPEN), mixed).otherwise(F.col("_part"))
     return src.select(*keys, (F.col("_p") + 1).alias(pos), _trim(value).alias(item)).where(F.col(item) != "").unionByName(long)
