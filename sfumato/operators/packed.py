@@ -1,7 +1,7 @@
 """Several values packed in one field: one row a value with its position.
 
 Quoted spans become indexed placeholders, the brackets around the whole list go, what remains is split at delimiters, and
-the placeholders are replaced by array look-up.  All of it is built-in functions in the JVM, but for very long fields.
+the placeholders are replaced by array look-up.  All of it is built-in functions in the JVM, but for very long or deeply nested fields.
 
 Placeholders are an index between two private-use characters.  Those characters are themselves treated as spans where
 a text holds them, so no text can collide with a placeholder.
@@ -34,6 +34,8 @@ _SPAN = rf"""{_BEGIN}(?:"(?:[^"]++|""|"(?!"|{_BLANK}|$|[,;|/{_WIDE}\])}}]))*"(?:
 _BRACKETS = [
     rf"(?s)^{a}((?:[^{a}{b}]++|{a}(?:[^{a}{b}]++|{a}[^{a}{b}]*+{b})*{b})*){b}$" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"))
 ]
+#: Those patterns are enough for two opening brackets; a field that begins with one and has more may be deeper, so the loop reads it.
+_DEEP = rf"^{_BLANK}*[\[({{](?:[^\[({{]*+[\[({{]){{2}}"
 _TRIM = rf"^{_BLANK}+|{_BLANK}+$"
 
 
@@ -96,16 +98,17 @@ def split_field(text: str) -> list[tuple[int, str]]:
             hi -= 1
 
     strip()
-    for opens, closes in [*_PAIRS.items()] * 2:
-        if hi - lo > 1 and chars[lo] == opens and chars[hi - 1] == closes:
-            depth, deepest, broken = 0, 0, False
-            for c in chars[lo + 1 : hi - 1]:
-                depth += (c == opens) - (c == closes)
-                deepest = max(deepest, depth)
-                broken = broken or depth < 0
-            if not broken and not depth and deepest <= 2:
-                lo, hi = lo + 1, hi - 1
-                strip()
+    partner: dict[int, int] = {}  # of an opening bracket, by kind
+    for opens, closes in _PAIRS.items():
+        unmatched: list[int] = []
+        for at in range(lo, hi):
+            if chars[at] == opens:
+                unmatched.append(at)
+            elif chars[at] == closes and unmatched:
+                partner[unmatched.pop()] = at
+    while hi - lo > 1 and partner.get(lo) == hi - 1:
+        lo, hi = lo + 1, hi - 1
+        strip()
     places, current, i = [], [], lo
     while i < hi:
         j = i
@@ -149,8 +152,9 @@ def _split_long(src: DataFrame, keys: list[str], item: str, pos: str) -> DataFra
 def split_packed(df: DataFrame, keys: list[str], field: str, item: str = "item", pos: str = "pos") -> DataFrame:
     """keys, pos (from 1) and item of each value in a field."""
     src = df.select(*keys, F.col(field).cast("string").alias("_f")).where(F.col("_f").rlike(rf"[^\s\p{{Z}}]"))
-    long = _split_long(src.where(F.length("_f") > LONG), keys, item, pos)
-    src = src.where(F.length("_f") <= LONG)
+    loop = (F.length("_f") > LONG) | F.col("_f").rlike(_DEEP)
+    long = _split_long(src.where(loop), keys, item, pos)
+    src = src.where(~loop)
     src = src.select(
         *keys, F.regexp_extract_all("_f", F.lit(_SPAN), F.lit(0)).alias("_spans"), F.split("_f", _SPAN, -1).alias("_gaps"),
     )

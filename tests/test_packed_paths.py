@@ -25,7 +25,11 @@ def test_mixed_parts_and_doubled_quotes(spark, monkeypatch):
     _both(spark, monkeypatch, MIXED)
 
 
-@pytest.mark.parametrize("alphabet", ["ab1@ ,;|/(\"'"])
+def test_brackets_of_any_depth(spark, monkeypatch):
+    _both(spark, monkeypatch, ["[[[1,2]]]", "[[[[1,2]]]]", "{([1,2])}", "[{([1] , 2)}]", "[[[1],[2]]]", "[[1],[2]],[[3]]", "[" * 50 + "1,2" + "]" * 50, "(([[{{ 1 2 }}]]))", "[(]),1", "[[[['a]',b]]]]"])
+
+
+@pytest.mark.parametrize("alphabet", ["ab1@ ,;|/(\"'", "a1,['](", "1,[]", "a ,[](){}\""])
 def test_random_fields(spark, monkeypatch, alphabet):
     rng = random.Random(11)
     _both(spark, monkeypatch, ["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(3000)])
