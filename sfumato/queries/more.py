@@ -182,6 +182,19 @@ def friedman(spark, d):
     return rounded(spark.createDataFrame([(r["blocks"], float(r["statistic"]))], "blocks bigint, statistic double"), "statistic")
 
 
+@query("""WITH b AS (SELECT DISTINCT id, dataset, model, value FROM benchmarks WHERE lower(regexp_replace(measure, '[^\\p{L}\\p{N}]', '', 'g')) = 'rmse' AND isfinite(value) AND dataset IS NOT NULL AND model IS NOT NULL),
+m AS (SELECT dataset, model, min(value) AS v FROM b GROUP BY dataset, model), a AS (SELECT count(DISTINCT model)::DOUBLE AS k FROM m),
+r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY v) + (count(*) OVER (PARTITION BY dataset, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY dataset) AS own FROM m),
+s AS (SELECT model, sum(r) AS s, count(*) AS n FROM r, a WHERE own = k GROUP BY model)
+SELECT coalesce(max(n), 0) AS blocks, coalesce(round(12.0::DOUBLE / (max(n) * max(k) * (max(k) + 1)) * sum(s * s) - 3 * max(n) * (max(k) + 1), 6), 0) AS statistic FROM a LEFT JOIN s ON k > 1""")
+def friedman_all(spark, d):
+    """Over all models, of the datasets that hold every one."""
+    b = table(spark, d, "benchmarks").where((measure_key("measure") == "rmse") & valid("value") & F.col("dataset").isNotNull() & F.col("model").isNotNull())
+    m = entries(b, "dataset", "model", "value").groupBy("dataset", "model").agg(F.min("value").alias("value"))
+    r = M.friedman(m)
+    return rounded(spark.createDataFrame([(r["blocks"], float(r["statistic"]))], "blocks bigint, statistic double"), "statistic")
+
+
 @query()
 def best_config(spark, d):
     configs = [{"method": m, "partitions": n} for m in ("chen", "yu") for n in (5, 10, 20)]

@@ -91,3 +91,13 @@ def test_conditional_model_starts_from_trained_residuals(spark):
         assert np.allclose(ys["given"][k], want) and np.allclose(ys["variance"][k], want)
         plain = nonstationary.Conditional(p, mids, 0.0)
         assert not np.allclose(want, [plain.step(x) for x in v])
+
+
+def test_friedman_over_all_models(spark, tmp_path):
+    models = [f"m{i}" for i in range(6)]
+    rows = [(10 * b + i, f"d{b}", m, "RMSE", float((i * (b + 2)) % 7)) for b in range(5) for i, m in enumerate(models) if (b, i) != (4, 5)]
+    spark.createDataFrame(rows, "id bigint, dataset string, model string, measure string, value double").write.parquet(str(tmp_path / "benchmarks.parquet"))
+    ranks = [[sorted((i * (b + 2)) % 7 for i in range(6)).index((i * (b + 2)) % 7) + 1 for i in range(6)] for b in range(4)]
+    q = 12 / (4 * 6 * 7) * sum(sum(c) ** 2 for c in zip(*ranks)) - 3 * 4 * 7
+    got = QUERIES["friedman_all"](spark, str(tmp_path)).head()
+    assert got["blocks"] == 4 and abs(got["statistic"] - q) < 1e-6
