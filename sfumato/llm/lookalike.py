@@ -1,14 +1,18 @@
 """One consistent form for texts that look the same but are stored as different characters.
 
-Letter runs are matched against a trie of canonical spellings by an automaton with weighted edits: a look-alike of the
-wanted letter, a composed letter for its parts, and an ignorable character cost nothing, everything else costs more than
-the budget of zero.  A run that ends on a word of the trie takes that word's spelling; all other characters go by a
-table (look-alike letters to Latin, width variants to their plain form, blanks to the space, line ends to a line feed,
-ignorables to nothing), and the result is composed (NFC).
+Two steps, both functions of a text's look alone, so that equal looks give equal texts, whatever else the corpus holds:
 
-The trie's words come from all texts: words of one script other than Latin that hold a letter with a Latin look-alike,
-the most frequent ones up to a documented number, so that its broadcast is bounded.  Both ways depend only on the look of
-a run, so equal looks give equal results whether or not a word is in the trie.  Runs that look like ASCII take ASCII.
+1. The table: letters with a Latin shape to Latin, width variants to their plain form, blanks to the space, line ends to a
+   line feed, ignorables to nothing; the result is composed (NFC).  Two texts look the same if this form is the same.
+2. The spelling of letter runs that aren't plain ASCII.  A trie of canonical spellings is traversed by an automaton with
+   weighted edits: a look-alike of the wanted letter and an ignorable cost nothing, any other edit costs 1, and the budget is 0
+   unless a caller raises it.  A run that ends on a word takes that word's spelling.  Others go by the table: where all
+   letters that belong to one script only are of the same script and it has a letter for each other shape, the run is spelled
+   in that script, so words of one script keep it; mixed runs stay in the first step's form.  The trie decides what no letter
+   of a run gives away (a Cyrillic word all of whose letters, but for their accents, look Latin).
+
+The trie's words are the one-script words of a published, fixed vocabulary (a public tokenizer's, whose path is a parameter),
+at most as many as it has entries.  Runs that look like ASCII take ASCII: their look is that of a Latin word.
 
 Kept as visible differences: case, accents, raised, lowered and circled digits, fractions, mathematical alphabets, dashes
 longer than a hyphen, number and kind of blanks' line ends apart, joiners between pictures and in scripts that join.
@@ -18,8 +22,10 @@ whole; repeated rows give repeated results.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import string
 import unicodedata
 from collections import OrderedDict
 from functools import lru_cache
@@ -29,11 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts with the shape of a Latin letter, beside the Latin letter.  Fixed values.
+# Letters of other scripts (and forms of Latin ones) with the shape of a Latin letter, beside the Latin letter.  Fixed values.
+# Letters of one script that share a shape are left out, but for the rarer one of a pair, which stands after the usual one.
 _SHAPES = {
     "АВЕКМНОРСТХЅІЈԌԚԜҮӀаеорсухѕіјһԁԛԝӏѵ": "ABEKMHOPCTXSIJGQWYIaeopcyxsijhdqwlv",  # Cyrillic
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν": "ABEZHIKMNOPTYXocjv",  # Greek
     "ՕՏՍօս": "OSUou",  # Armenian
+    "ᎠᎢᎪᎫᎬᎷᎻᏃᏙᏞᏟᏢᏦᏴ": "DTAJEMHZVLCPKB",  # Cherokee
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",  # Lisu
+    "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ": "HIKMNOPCTYXopc",  # Coptic
+    "ɑɡᴄᴏᴜᴠᴡᴢꜱ": "agcouvwzs",  # Latin
+    "․": ".",
 }
 #: Compatibility forms that look like their plain form; others (super, sub, circle, font, fraction) look different.
 _PLAIN = ("<wide>", "<narrow>", "<small>", "<noBreak>")
@@ -45,13 +57,10 @@ IGNORABLE = frozenset(map(chr, [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17
                                 *range(0x2060, 0x2065), *range(0x206A, 0x2070), *range(0xFE00, 0xFE0E), 0xFEFF]))
 _JOINERS = chr(0x200C) + chr(0x200D)
 _LINE_END = re.compile("\r\n?|[" + chr(0x85) + chr(0x2028) + chr(0x2029) + "]")
-# A joiner shows after a picture, a variation selector, or a letter of a script that joins.
-_JOINS_AFTER = "".join(
-    chr(a) + "-" + chr(b)
-    for a, b in ((0x600, 0x8FF), (0x900, 0x109F), (0x1780, 0x180A), (0x1810, 0x18AF), (0x2600, 0x27BF), (0xFE0F, 0xFE0F), (0x1F000, 0x1FAFF))
-)
-_JOINER = re.compile(f"(?<![{_JOINS_AFTER}])[{_JOINERS}]+")
-_JOINS = re.compile(f"[{_JOINS_AFTER}]")
+# A joiner shows after a letter of a script that joins, and between pictures (a variation selector may follow the first).
+_JOINS_AFTER = "".join(chr(a) + "-" + chr(b) for a, b in ((0x600, 0x8FF), (0x900, 0x109F), (0x1780, 0x180A), (0x1810, 0x18AF)))
+_PICTURE = "".join(chr(a) + "-" + chr(b) for a, b in ((0x2190, 0x2BFF), (0x1F000, 0x1FAFF)))
+_JOINER = re.compile(f"(?<![{_JOINS_AFTER}{_PICTURE}{chr(0xFE0F)}])[{_JOINERS}]+|(?<=[{_PICTURE}{chr(0xFE0F)}])[{_JOINERS}]+(?![{_PICTURE}{_JOINERS}])")
 
 
 @lru_cache(maxsize=1)
@@ -79,9 +88,55 @@ def table() -> dict[int, str]:
 
 
 def skeleton(text: str) -> str:
-    """The table's form of a text without joiners: equal for equal looks."""
-    parts = unicodedata.normalize("NFD", text).translate(table())
-    return unicodedata.normalize("NFC", parts)
+    """The table's form of a text: equal for equal looks.
+
+    Ignorables go first, since they may stand between a letter and its mark, or within a line end.
+    """
+    if text.isascii():
+        return _LINE_END.sub("\n", text) if "\r" in text else text
+    parts = _WIDE.sub(_drawn, text)
+    return unicodedata.normalize("NFC", _LINE_END.sub("\n", _JOINER.sub("", parts)))
+
+
+_WIDE = re.compile("[^\x00-\x7f]+")
+
+
+def _drawn(match: re.Match) -> str:
+    """A span without ASCII by the table; short spans recur and are remembered."""
+    return _drawn_short(match[0]) if len(match[0]) <= 24 else unicodedata.normalize("NFD", match[0]).translate(table())
+
+
+@lru_cache(maxsize=100_000)
+def _drawn_short(span: str) -> str:
+    return unicodedata.normalize("NFD", span).translate(table())
+
+
+_SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "COPTIC")
+
+
+def script(letter: str) -> str:
+    """The first word of a letter's name."""
+    return unicodedata.name(letter, "").partition(" ")[0]
+
+
+@lru_cache(maxsize=1)
+def inverse() -> dict[str, dict[int, str]]:
+    """By script: each Latin letter that one of its letters looks like, with that letter."""
+    out: dict[str, dict[int, str]] = {}
+    for a, b in _SHAPES.items():
+        if script(a[0]) in _SCRIPTS:
+            out[script(a[0])] = {ord(y): x for x, y in reversed(list(zip(a, b, strict=True)))}
+    return out
+
+
+def in_script(run: str) -> str | None:
+    """The run of a skeleton spelled in the one script its letters leave open; None if they leave none."""
+    parts = unicodedata.normalize("NFD", run)
+    own = {script(c) for c in parts if not c.isascii() and not unicodedata.combining(c)}
+    back = inverse().get(next(iter(own))) if len(own) == 1 else None
+    if back is None or not all(ord(c) in back for c in parts if c.isascii()):
+        return None
+    return unicodedata.normalize("NFC", parts.translate(back))
 
 
 class Trie:
@@ -143,33 +198,29 @@ class Trie:
         return min(ends)[1] if ends else None
 
 
-# A letter run that holds something other than ASCII letters: letters with marks, ignorables and joiners inside.
-_INSIDE = "".join(sorted(IGNORABLE)) + _JOINERS
-_MARKS = "".join(chr(a) + "-" + chr(b) for a, b in ((0x300, 0x36F), (0x483, 0x487), (0x3099, 0x309A)))
-_RUN = re.compile(
-    rf"(?<![A-Za-z])(?:[A-Za-z]++(?:[^\W\d_A-Za-z]|[{_MARKS}{_INSIDE}])|[^\W\d_A-Za-z])(?:[^\W\d_]|[{_MARKS}{_INSIDE}])*"
-)
+# A letter run of the scripts with look-alikes from its first letter that isn't ASCII, in a skeleton.
+_OTHER = "".join(chr(a) + "-" + chr(b) for a, b in (
+    (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x370, 0x3FF), (0x400, 0x481), (0x48A, 0x52F), (0x531, 0x556), (0x561, 0x587), (0x13A0, 0x13FF), (0x1E00, 0x1FFF), (0x2C80, 0x2CFF),
+    (0xA4D0, 0xA4F7)))
+_MARKS = chr(0x300) + "-" + chr(0x36F) + chr(0x483) + "-" + chr(0x487)
+_RUN = re.compile(f"[{_OTHER}{_MARKS}][A-Za-z{_OTHER}{_MARKS}]*")
+_ASCII_LETTERS = frozenset(string.ascii_letters)
 
 
 class Normalizer:
-    """Texts to their consistent form; results of letter runs are remembered."""
+    """Texts to their consistent form; spellings of runs are remembered."""
 
     CACHE = 300_000
 
-    def __init__(self, words: dict[str, int]):
-        self.trie = Trie(words)
+    def __init__(self, words: dict[str, int], budget: int = 0):
+        """budget above 0 also takes runs to the nearest word within that many visible edits."""
+        self.trie, self.budget = Trie(words), budget
         self.cache: OrderedDict[str, str] = OrderedDict()
 
-    def run(self, match: re.Match) -> str:
-        run = match[0]
-        if run.isascii():
-            return run
+    def spell(self, run: str) -> str:
         out = self.cache.get(run)
         if out is None:
-            sk = skeleton(run)
-            if not _JOINS.search(run):
-                sk = sk.replace(_JOINERS[0], "").replace(_JOINERS[1], "")
-            out = sk if sk.isascii() else self.trie.find(run) or sk
+            out = self.trie.find(run, self.budget) or in_script(run) or run
             if len(self.cache) >= self.CACHE:
                 self.cache.popitem(last=False)
             if len(run) <= 64:
@@ -177,18 +228,17 @@ class Normalizer:
         return out
 
     def text(self, text: str) -> str:
-        if text.isascii():
-            return _LINE_END.sub("\n", text) if "\r" in text else text
-        text = _JOINER.sub("", _LINE_END.sub("\n", text))
-        # The table does what lies outside of letter runs.
-        out, at, rest = [], 0, table()
-        for m in _RUN.finditer(text):
-            if m.start() > at:
-                out.append(text[at : m.start()].translate(rest))
-            out.append(self.run(m))
+        look = skeleton(text)
+        if look.isascii():
+            return look
+        out, at = [], 0
+        for m in _RUN.finditer(look):
+            first = m.start()
+            while first > at and look[first - 1] in _ASCII_LETTERS:
+                first -= 1
+            out += (look[at:first], self.spell(look[first : m.end()]))
             at = m.end()
-        out.append(text[at:].translate(rest))
-        return unicodedata.normalize("NFC", "".join(out))
+        return unicodedata.normalize("NFC", "".join((*out, look[at:])))
 
 
 def visible(text: str) -> bool:
@@ -196,27 +246,28 @@ def visible(text: str) -> bool:
     return bool(text) and not text.isspace()
 
 
-_SCRIPTS = ("Cyrillic", "Greek", "Armenian")
-
+#: A public tokenizer's vocabulary (base64 token and rank a line), from which the canonical spellings come.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
-def vocabulary(df: DataFrame, text_col: str = "text", words: int = 50_000, least: int = 2) -> dict[str, int]:
-    """The most frequent words of one script with Latin look-alikes, with their counts over all texts.
 
-    The count covers all texts and combines on the map side; only the result, of at most `words` rows, comes to the driver.
-    """
-    one = "|".join(rf"\p{{Is{s}}}[\p{{Is{s}}}\p{{M}}]+" for s in _SCRIPTS)
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"), F.lit(0))
-    some = F.col(text_col).rlike("|".join(rf"\p{{Is{s}}}" for s in _SCRIPTS))
-    counts = (
-        df.select(text_col).where(some).select(F.explode(runs).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= least).orderBy(F.col("n").desc(), "w").limit(words)
-    )
-    return {r["w"]: r["n"] for r in counts.collect()}
+def public_words(path: str = VOCABULARY) -> dict[str, int]:
+    """The vocabulary's tokens of two or more letters of one script with Latin look-alikes; greater is more usual."""
+    out: dict[str, int] = {}
+    with open(path, "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            try:
+                word = unicodedata.normalize("NFC", base64.b64decode(token).decode("utf-8").strip(" "))
+            except UnicodeDecodeError:
+                continue
+            if len(word) > 1 and not word.isascii() and word.isalpha() and len(own := {script(c) for c in word}) == 1 and own <= set(_SCRIPTS):
+                out.setdefault(word, -int(rank))
+    return out
 
 
 def normalize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "text", words: dict[str, int] | None = None) -> DataFrame:
     """id and the text in its consistent form."""
-    words = vocabulary(df, text_col) if words is None else words
+    words = public_words() if words is None else words
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([T.StructField(id_col, src.schema["_id"].dataType), T.StructField(out_col, T.StringType())])
     shared = df.sparkSession.sparkContext.broadcast(words)
@@ -232,7 +283,7 @@ def normalize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out
 
 def look_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: dict[str, int] | None = None) -> DataFrame:
     """id, look (digest of the consistent form) and stored (digest of the text as stored), of texts with something visible."""
-    words = vocabulary(df, text_col) if words is None else words
+    words = public_words() if words is None else words
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
     schema = T.StructType([
         T.StructField(id_col, src.schema["_id"].dataType), T.StructField("look", T.BinaryType()), T.StructField("stored", T.BinaryType())])
