@@ -1,7 +1,9 @@
 """Several values packed in one field: one row a value with its position.
 
 Quoted spans become indexed placeholders, the brackets around the whole list go, what remains is split at delimiters, and
-the placeholders are replaced by array look-up.  All of it is built-in functions in the JVM, but for very long or deeply nested fields.
+the placeholders are replaced by array look-up.  Each step is one pass over the field, whatever its length, number of quotes
+or depth of brackets.  Fields travel in Arrow batches; equal fields of a batch are split once, and the items of all rows are
+gathered by index.
 
 Placeholders are an index between two private-use characters.  Those characters are themselves treated as spans where
 a text holds them, so no text can collide with a placeholder.
@@ -16,165 +18,140 @@ places are different rows; rows repeated in the input are repeated in the output
 
 from __future__ import annotations
 
-import unicodedata
+import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OPEN, _CLOSE = chr(0xE000), chr(0xE001)
-_WIDE = chr(0xFF0C) + chr(0x3001)
-_BLANK = r"[\s\p{Z}]"
-_MARK = rf"[,;|/{_WIDE}]"
-_BEGIN = rf"(?<=^|[,;|/{_WIDE}\[({{\s\p{{Z}}])"
-_END = rf"(?={_BLANK}*(?:$|[,;|/{_WIDE}\])}}]))|(?={_BLANK})"
-_SPAN = rf"""{_BEGIN}(?:"(?:[^"]++|""|"(?!"|{_BLANK}|$|[,;|/{_WIDE}\])}}]))*"(?:{_END})|'(?:[^']++|''|'(?!'|{_BLANK}|$|[,;|/{_WIDE}\])}}]))*'(?:{_END}))|[{_OPEN}{_CLOSE}]"""
-#: Brackets around the whole list, with pairs of the same kind inside up to a depth of two; each kind goes at most twice.
-_BRACKETS = [
-    rf"(?s)^{a}((?:[^{a}{b}]++|{a}(?:[^{a}{b}]++|{a}[^{a}{b}]*+{b})*{b})*){b}$" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"))
-]
-#: Those patterns are enough for two opening brackets; a field that begins with one and has more may be deeper, so the loop reads it.
-_DEEP = rf"^{_BLANK}*[\[({{](?:[^\[({{]*+[\[({{]){{2}}"
-_TRIM = rf"^{_BLANK}+|{_BLANK}+$"
-
-
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, _TRIM, "")
-
-
-#: Java's patterns recurse with the number of quotes and brackets; longer fields are read by a loop of the same meaning.
-LONG = 2_000
-_MARKS = ",;|/" + _WIDE
+#: Unicode's white space.
+_BLANKS = "\t\n\v\f\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_MARKS = ",;|/" + chr(0xFF0C) + chr(0x3001)
 _PAIRS = {"[": "]", "(": ")", "{": "}"}
-
-
-def _is_blank(ch: str) -> bool:
-    return ch in " \t\n\r\f\v" or unicodedata.category(ch)[0] == "Z"
-
-
-def split_field(text: str) -> list[tuple[int, str]]:
-    """(position, value) of one field, with the same steps: spans, brackets, delimiters, spans again."""
-    spans: list[str] = []
-    chars: list[str | int] = []  # an int stands for a span
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if ch in "\"'" and (i == 0 or text[i - 1] in _MARKS or text[i - 1] in _PAIRS or _is_blank(text[i - 1])):
-            j, value = i + 1, []
-            while j < n:
-                k = text.find(ch, j)
-                if k < 0:
-                    j = n
-                    break
-                value.append(text[j:k])
-                after = text[k + 1 : k + 2]
-                if after == ch:
-                    value.append(ch)
-                    j = k + 2
-                elif after == "" or after in _MARKS or after in "])}" or _is_blank(after):
-                    spans.append("".join(value))
-                    chars.append(len(spans) - 1)
-                    i = k + 1
-                    break
-                else:
-                    value.append(ch)
-                    j = k + 1
-            if j < n:
-                continue
-        chars.append(ch)
-        i += 1
-
-    def blank(c) -> bool:
-        return isinstance(c, str) and _is_blank(c)
-
-    lo, hi = 0, len(chars)
-
-    def strip() -> None:
-        nonlocal lo, hi
-        while lo < hi and blank(chars[lo]):
+_CLOSERS = {c: o for o, c in _PAIRS.items()}
+
+_SPAN = re.compile(rf"""(?:(?<=[{re.escape(_MARKS + _BLANKS)}\[({{])|^)["']|[{_OPEN}{_CLOSE}]""")
+_BRACKET = re.compile(r"[\[\](){}]")
+_DELIMITER = re.compile(rf"[{_BLANKS}]*+[{re.escape(_MARKS)}][{_BLANKS}]*+|[{_BLANKS}]++")
+_NUMBER = re.compile(rf"{_OPEN}(\d+){_CLOSE}")
+_AFTER = frozenset(["", *_MARKS, *_BLANKS, *_CLOSERS])
+
+
+def _span_end(text: str, at: int) -> int:
+    """Place after the quote that ends the span begun at `at`; -1 if none does."""
+    quote, k = text[at], text.find(text[at], at + 1)
+    while k >= 0:
+        after = text[k + 1 : k + 2]
+        if after == quote:
+            k += 1
+        elif after in _AFTER:
+            return k + 1
+        k = text.find(quote, k + 1)
+    return -1
+
+
+def _own_run_end(text: str, at: int) -> int:
+    """The same where no quote past the run of quotes begun at `at` ends a span."""
+    end = at
+    while text[end : end + 1] == text[at]:
+        end += 1
+    return end if (end - at) % 2 == 0 and text[end : end + 1] in _AFTER else -1
+
+
+def _with_placeholders(text: str) -> tuple[str, list[str]]:
+    """(text with placeholders, spans without their quoting)."""
+    out, spans, at = [], [], 0
+    endless: set[str] = set()  # a quote whose search reached the end closes nothing later but its own run
+    found = _SPAN.search(text)
+    while found:
+        i, ch = found.start(), found[0]
+        if ch in (_OPEN, _CLOSE):
+            end, value = i + 1, ch
+        else:
+            end = _own_run_end(text, i) if ch in endless else _span_end(text, i)
+            if end < 0:
+                endless.add(ch)
+                end, value = i + 1, None
+            else:
+                value = text[i + 1 : end - 1].replace(ch + ch, ch)
+        if value is None:
+            out.append(text[at:end])
+        else:
+            out += (text[at:i], f"{_OPEN}{len(spans)}{_CLOSE}")
+            spans.append(value)
+        at = end
+        found = _SPAN.search(text, at)
+    out.append(text[at:])
+    return "".join(out), spans
+
+
+def _without_brackets(text: str) -> str:
+    """Without the brackets around the whole list, however many."""
+    text = text.strip(_BLANKS)
+    if text[:1] not in _PAIRS or text[-1:] not in _CLOSERS:
+        return text
+    partner: dict[int, int] = {}
+    unmatched: dict[str, list[int]] = {o: [] for o in _PAIRS}
+    for m in _BRACKET.finditer(text):
+        if m[0] in _PAIRS:
+            unmatched[m[0]].append(m.start())
+        elif unmatched[_CLOSERS[m[0]]]:
+            partner[unmatched[_CLOSERS[m[0]]].pop()] = m.start()
+    lo, hi = 0, len(text)
+    while hi - lo > 1 and partner.get(lo) == hi - 1:
+        lo, hi = lo + 1, hi - 1
+        while lo < hi and text[lo] in _BLANKS:
             lo += 1
-        while lo < hi and blank(chars[hi - 1]):
+        while lo < hi and text[hi - 1] in _BLANKS:
             hi -= 1
+    return text[lo:hi]
 
-    strip()
-    partner: dict[int, int] = {}  # of an opening bracket, by kind
-    for opens, closes in _PAIRS.items():
-        unmatched: list[int] = []
-        for at in range(lo, hi):
-            if chars[at] == opens:
-                unmatched.append(at)
-            elif chars[at] == closes and unmatched:
-                partner[unmatched.pop()] = at
-    while hi - lo > 1 and partner.get(lo) == hi - 1:
-        lo, hi = lo + 1, hi - 1
-        strip()
-    places, current, i = [], [], lo
-    while i < hi:
-        j = i
-        while j < hi and blank(chars[j]):
-            j += 1
-        if j < hi and isinstance(chars[j], str) and chars[j] in _MARKS:
-            j += 1
-            while j < hi and blank(chars[j]):
-                j += 1
-        elif j == i:
-            current.append(chars[i])
-            i += 1
-            continue
-        places.append(current)
-        current, i = [], j
-    places.append(current)
+
+def split_field(text: str) -> list[tuple[int, str]]:
+    """(position, value) of one field."""
+    text, spans = _with_placeholders(text)
     out = []
-    for k, place in enumerate(places, 1):
-        value = "".join(spans[c] if isinstance(c, int) else c for c in place).strip()
-        if value:
-            out.append((k, value))
+    for k, part in enumerate(_DELIMITER.split(_without_brackets(text)), 1):
+        if spans and _OPEN in part:
+            part = _NUMBER.sub(lambda m: spans[int(m[1])], part)
+        if part := part.strip(_BLANKS):
+            out.append((k, part))
     return out
 
 
-def _split_long(src: DataFrame, keys: list[str], item: str, pos: str) -> DataFrame:
-    schema = T.StructType([*(src.schema[k] for k in keys), T.StructField(pos, T.IntegerType()), T.StructField(item, T.StringType())])
+#: Fields up to this length are remembered between batches; the cache's memory is bounded by the two numbers.
+_REMEMBERED = 200
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):  # one field at a time: each is long
-                got = split_field(batch.column(len(keys))[row].as_py())
-                at = pa.array([row] * len(got), pa.int64())
-                cols = [batch.column(i).take(at) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array([p for p, _ in got], pa.int32()), pa.array([v for _, v in got], pa.string())], names=schema.names
-                )
 
-    return src.mapInArrow(run, schema)
+@lru_cache(maxsize=20_000)
+def _remembered(text: str) -> list[tuple[int, str]]:
+    return split_field(text)
 
 
 def split_packed(df: DataFrame, keys: list[str], field: str, item: str = "item", pos: str = "pos") -> DataFrame:
     """keys, pos (from 1) and item of each value in a field."""
-    src = df.select(*keys, F.col(field).cast("string").alias("_f")).where(F.col("_f").rlike(rf"[^\s\p{{Z}}]"))
-    loop = (F.length("_f") > LONG) | F.col("_f").rlike(_DEEP)
-    long = _split_long(src.where(loop), keys, item, pos)
-    src = src.where(~loop)
-    src = src.select(
-        *keys, F.regexp_extract_all("_f", F.lit(_SPAN), F.lit(0)).alias("_spans"), F.split("_f", _SPAN, -1).alias("_gaps"),
-    )
-    last = F.size("_spans")
-    text = F.array_join(F.transform("_gaps", lambda g, i: F.when(i < last, F.concat(g, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(g)), "")
-    text = _trim(text)
-    for _ in range(2):
-        for pattern in _BRACKETS:
-            text = _trim(F.regexp_replace(text, pattern, "$1"))
-    places = F.split(text, rf"{_BLANK}*{_MARK}{_BLANK}*|{_BLANK}+", -1)
-    src = src.select(*keys, "_spans", F.posexplode(places).alias("_p", "_part")).where(F.col("_part") != "")
-    # A part is mostly plain text or one placeholder; others hold placeholders among plain text.
-    number = rf"{_OPEN}(\d+){_CLOSE}"
-    span = lambda i: F.get("_spans", i)
-    quote = lambda s: F.substring(s, 1, 1)
-    inner = lambda s: F.when(quote(s).isin('"', "'"), F.replace(F.substr(s, F.lit(2), F.length(s) - 2), F.concat(quote(s), quote(s)), quote(s))).otherwise(s)
-    alone = F.col("_part").rlike(rf"^{number}$")
-    index = F.regexp_extract("_part", number, 1).cast("int")
-    numbers = F.regexp_extract_all("_part", F.lit(number), F.lit(1))
-    gaps = F.split("_part", number, -1)
-    mixed = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(inner(span(F.get(numbers, i).cast("int"))), F.lit("")))), "")
-    value = F.when(alone, inner(span(index))).when(F.col("_part").contains(_OPEN), mixed).otherwise(F.col("_part"))
-    return src.select(*keys, (F.col("_p") + 1).alias(pos), _trim(value).alias(item)).where(F.col(item) != "").unionByName(long)
+    src = df.select(*keys, F.col(field).cast("string").alias("_f")).where(F.col("_f").isNotNull() & (F.col("_f") != ""))
+    schema = T.StructType([*(src.schema[k] for k in keys), T.StructField(pos, T.IntegerType()), T.StructField(item, T.StringType())])
+    at = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            codes = batch.column(at).dictionary_encode()
+            got = [_remembered(f) if len(f) <= _REMEMBERED else split_field(f) for f in codes.dictionary.to_pylist()]
+            sizes = np.array([len(g) for g in got], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            places = pa.array([p for g in got for p, _ in g], pa.int32())
+            items = pa.array([v for g in got for _, v in g], pa.string())
+            field_no = codes.indices.to_numpy(zero_copy_only=False)
+            many = sizes[field_no]
+            row = np.repeat(np.arange(batch.num_rows), many)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            take = pa.array(begins[field_no[row]] + within)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(at)), places.take(take), items.take(take)], names=schema.names)
+
+    return src.mapInArrow(run, schema)
