@@ -1,10 +1,14 @@
 """The N first rows of every group in a fixed order, for groups of any size.
 
 Hot-cold split: exact group counts (a map-side combined aggregation) tell heavy groups from light ones.  Light groups go
-through an ordinary window.  Rows of heavy groups get a range number from percentiles of the first order column and a
-hash salt, are cut to N a (group, range, salt), and then to N a group; ties in the order column can't gather in one task
-because of the salt.  Both parts are united.  Spark cuts each window's input to N rows a partition key before it
-shuffles (WindowGroupLimit).
+through an ordinary window.  Rows of heavy groups get a range number from percentiles of the first order column; the exact
+counts of the ranges tell how many of them, from the lowest on, hold the N first rows, and only rows of those are sorted: by
+(group, range, hash salt), cut to N each, and then to N a group.  Ties in the order column can't gather in one task because
+of the salt.  Both parts are united.  Spark cuts each window's input to N rows a partition key before it shuffles
+(WindowGroupLimit).
+
+A group is heavy above ``heavy_rows`` rows and above a MAX_HEAVY-th of all rows, so there are fewer than MAX_HEAVY of them;
+that proves the bound of what is broadcast: one row a heavy group, or a row for each of its ranges.
 
 Defined results: the order is that of the order columns, ascending, NULLs last; the last of them should be unique, else
 rows equal in all are taken in an unspecified order; a NULL in a group column makes a group like any other; no group is
@@ -18,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many groups are treated as heavy; this bounds the broadcast table.  Others take the ordinary window.
+#: Fewer groups than this are heavy, by definition.
 MAX_HEAVY = 10_000
 
 
@@ -32,10 +36,8 @@ def top_n(
     src = df.select(*(F.col(f"`{c}`").alias(g) for c, g in zip(group, gs, strict=True)), *(F.col(f"`{c}`").alias(o) for c, o in zip(order, os_, strict=True)), row.alias("row"))
     keys = [F.col(o).asc_nulls_last() for o in os_]
     counts = src.groupBy(*gs).agg(F.count(F.lit(1)).alias("rows"))
-    heavy = (
-        counts.where(F.col("rows") > heavy_rows).orderBy(F.col("rows").desc(), *gs).limit(MAX_HEAVY)
-        .select(*(F.col(g).alias(f"h_{g}") for g in gs), F.lit(True).alias("heavy"))
-    )
+    least = F.greatest(F.lit(heavy_rows), F.coalesce(counts.agg(F.sum("rows")).scalar() / MAX_HEAVY, F.lit(0)))
+    heavy = counts.where(F.col("rows") > least).select(*(F.col(g).alias(f"h_{g}") for g in gs), F.lit(True).alias("heavy"))
     on = [F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in gs]
     flagged = src.join(F.broadcast(heavy), on, "left").drop(*(f"h_{g}" for g in gs))
     cold = flagged.where(F.col("heavy").isNull()).drop("heavy")
@@ -52,6 +54,12 @@ def top_n(
         )
         bucket = F.when(F.col("o0").isNull(), F.lit(ranges)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("o0"))))
         hot = hot.join(F.broadcast(cuts), on, "left").drop(*(f"h_{g}" for g in gs)).withColumn("bucket", bucket).drop("cuts")
+        # Ranges before which there are fewer than n rows; at most ranges + 1 rows a heavy group.
+        before = F.sum("rows").over(Window.partitionBy(*gs).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = hot.groupBy(*gs, "bucket").agg(F.count(F.lit(1)).alias("rows"))
+        needed = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n)
+        needed = needed.select(*(F.col(g).alias(f"h_{g}") for g in gs), F.col("bucket").alias("h_bucket"))
+        hot = hot.join(F.broadcast(needed), [*on, F.col("bucket") == F.col("h_bucket")], "left_semi")
     else:  # only numbers and times have percentiles; the salt alone shares other columns out
         hot = hot.withColumn("bucket", F.lit(0))
     parts = ranked(hot.withColumn("salt", F.pmod(F.xxhash64(*os_), F.lit(salts))), [*gs, "bucket", "salt"]).drop("rnk", "bucket", "salt")
