@@ -1,13 +1,17 @@
 """Attribute-value rows into one typed row per entity.
 
-The cell of an (entity, attribute) is won by its latest row, of these the one with the greatest id; that is an aggregation
-with map-side combining, so repeated deliveries and hot entities shrink before they are shuffled.  The winners are sorted by
-entity and streamed through builders that hold one buffer a column - values of the column's type and a validity mask - and
-give out a record batch whenever BATCH entities are full.  Only one batch is held, whatever the number of rows.
+The cell of an (entity, attribute) is won by its latest row, of these the one with the greatest id.  Rows are shuffled once, by
+entity, and sorted by entity, attribute and order, so that the winner is the last of its cell; builders stream over them and
+collect sparse (column, row, value) triples, from which each column's typed buffer and validity mask are made when a batch of
+entities is full.  Only one batch is held, whatever the number of rows, and columns without a cell cost nothing.
+
+Entities with a great share of all rows (they are counted exactly, and by definition there are fewer than MAX_HEAVY of them)
+aren't shuffled as rows: their cells are won by an aggregation that combines on the map side, and join the others afterwards.
 
 Defined results: attributes outside of the catalogue and values that are NULL, NaN or infinite fill no cell; an entity
 with no filled cell has a row of NULLs; a NULL entity is an entity like any other; whole-number columns take the nearest
-whole number, and NULL where it exceeds 64 bits (its provenance stays); extra columns of the input don't take part, whatever their names.
+whole number, and NULL where it exceeds their bits (its provenance stays); text that isn't of a column's type fills no cell;
+extra columns of the input don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +26,15 @@ from pyspark.sql import types as T
 
 from sfumato.operators.entries import valid
 
-#: Entities in one batch given out by a builder.
-BATCH = 4096
-_TYPES = {"double": T.DoubleType(), "bigint": T.LongType(), "long": T.LongType(), "int": T.LongType()}
+#: Entities in one batch given out by a builder, fewer where there are many columns: a batch has at most CELLS cells.
+BATCH, CELLS = 4096, 1 << 22
+#: Fewer entities than this are heavy, by definition; this bounds the broadcast table.
+MAX_HEAVY = 10_000
+_TYPES = {
+    "double": T.DoubleType(), "float": T.FloatType(), "bigint": T.LongType(), "long": T.LongType(), "int": T.IntegerType(), "integer": T.IntegerType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "string": T.StringType(),
+}
+_BITS = {T.LongType(): 63, T.IntegerType(): 31}
 
 
 def attribute_index(df: DataFrame, key: Column, catalog: Sequence[tuple[str, str]]) -> Column:
@@ -33,53 +43,100 @@ def attribute_index(df: DataFrame, key: Column, catalog: Sequence[tuple[str, str
     return F.element_at(pairs, F.coalesce(key, F.lit("")))
 
 
-def winners(df: DataFrame, entity: Sequence[str], index: Column, value: str, order: Sequence[str]) -> DataFrame:
-    """entity, _ix, _v and the order columns of the row that fills each cell; _ix is NULL for entities' other rows."""
-    ix = F.when(valid(value), index)
-    # Rows that fill nothing are kept one an entity, so that the entity has its row.
-    best = F.max(F.when(ix.isNotNull(), F.struct(*(F.col(c) for c in order), F.col(value).cast("double").alias("_v")))).alias("_w")
-    return (
-        df.groupBy(*entity, ix.alias("_ix")).agg(best)
-        .select(*entity, "_ix", F.col("_w._v").alias("_v"), *(F.col(f"_w.{c}").alias(f"_o_{c}") for c in order))
-    )
+def _number(df: DataFrame, value: str, ix: Column, catalog: Sequence[tuple[str, str]]) -> Column:
+    """The value as a number: itself, 0 or 1 of a boolean, microseconds of a time; NULL for columns of text."""
+    c = F.col(value)
+    if isinstance(df.schema[value].dataType, T.NumericType):
+        return c.cast("double")
+    of = lambda *kinds: ix.isin([i for i, (_, k) in enumerate(catalog) if k in kinds])
+    number = F.when(of("boolean"), c.try_cast("boolean").cast("double")).when(of("timestamp"), F.unix_micros(c.try_cast("timestamp")).cast("double"))
+    return number.when(of("string"), F.lit(None)).otherwise(c.try_cast("double"))
+
+
+def cell_rows(
+    df: DataFrame, entity: Sequence[str], index: Column, value: str, order: Sequence[str], catalog: Sequence[tuple[str, str]], heavy_rows: int = 100_000,
+) -> DataFrame:
+    """entity, _ix, _v (number), _s (text, where the catalogue has such columns) and the order columns of rows that may fill
+    a cell: all rows of light entities, the winners of heavy ones; _ix is NULL in rows that fill none."""
+    counts = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_rows"))
+    least = F.greatest(F.lit(heavy_rows), F.coalesce(counts.agg(F.sum("_rows")).scalar() / MAX_HEAVY, F.lit(0)))
+    heavy = counts.where(F.col("_rows") > least).select(*(F.col(c).alias(f"_h_{c}") for c in entity))
+    texts = [i for i, (_, kind) in enumerate(catalog) if kind == "string"]
+    v = _number(df, value, index, catalog)
+    s = F.when(index.isin(texts), F.col(value).cast("string"))
+    fills = F.when(index.isin(texts), s.isNotNull()).otherwise(valid(v))
+    src = df.select(*entity, F.when(fills, index).alias("_ix"), v.alias("_v"), *([s.alias("_s")] if texts else []), *(F.col(c).alias(f"_o_{c}") for c in order))
+    on = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in entity]
+    light = src.join(F.broadcast(heavy), on, "left_anti")
+    hot = src.join(F.broadcast(heavy), on, "left_semi")
+    rest = [*(f"_o_{c}" for c in order), "_v", *(["_s"] if texts else [])]
+    won = hot.groupBy(*entity, "_ix").agg(F.max(F.struct(*rest)).alias("_w")).select(*entity, "_ix", *(F.col(f"_w.{c}").alias(c) for c in rest))
+    return light.unionByName(won)
 
 
 def widen(cells: DataFrame, entity: Sequence[str], catalog: Sequence[tuple[str, str]], provenance: str | None = None) -> DataFrame:
-    """One row an entity from the result of winners: a column for each catalogued attribute, in its type.
+    """One row an entity from the result of cell_rows: a column for each catalogued attribute, in its type.
 
     provenance names an order column (a long) to be laid beside each value as ``<attribute>__<provenance>``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    width = len(catalog)
+    width, n_key = len(catalog), len(entity)
+    kinds = [_TYPES[kind] for _, kind in catalog]
     fields = [cells.schema[c] for c in entity]
-    fields += [T.StructField(name, _TYPES[kind]) for name, kind in catalog]
+    fields += [T.StructField(name, kind) for (name, _), kind in zip(catalog, kinds, strict=True)]
     if provenance:
         fields += [T.StructField(f"{name}__{provenance}", T.LongType()) for name, _ in catalog]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    whole = [isinstance(_TYPES[kind], T.LongType) for _, kind in catalog]
-    n_key = len(entity)
-    extra = [F.col(f"_o_{provenance}").cast("long").alias("_p")] if provenance else []
-    rows = cells.select(*entity, "_ix", "_v", *extra).repartition(*entity).sortWithinPartitions(*entity, "_ix")
-
-    def flush(keys: list[pa.RecordBatch], n: int, values, ints, masks, ids, filled) -> pa.RecordBatch:
+    text = "_s" in cells.columns
+    carried = ["_ix", "_v", *(["_s"] if text else []), *([f"_o_{provenance}"] if provenance else [])]
+    orders = [c for c in cells.columns if c.startswith("_o_")]
+    rows = cells.repartition(*entity).sortWithinPartitions(*entity, "_ix", *orders).select(*entity, *(F.col(c).cast("long").alias(c) if c.startswith("_o_") else c for c in carried))
+    size = max(16, min(BATCH, CELLS // max(1, width)))
+
+    def column(i: int, n: int, at: np.ndarray, v: np.ndarray, s: list | None) -> pa.Array:
+        """Column i of n rows with the values v (or texts s) in the rows `at`."""
+        if not len(at):
+            return pa.nulls(n, arrow[n_key + i].type)
+        kind, mask = kinds[i], np.ones(n, bool)
+        if isinstance(kind, T.StringType):
+            out = np.full(n, None, object)
+            out[at] = [s[k] for k in range(len(at))]
+            return pa.array(out, pa.string())
+        mask[at] = False
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            data = np.zeros(n, np.float64 if isinstance(kind, T.DoubleType) else np.float32)
+            data[at] = v
+            return pa.array(data, arrow[n_key + i].type, mask=mask)
+        if isinstance(kind, T.BooleanType):
+            data = np.zeros(n, bool)
+            data[at] = v != 0
+            return pa.array(data, mask=mask)
+        data, fits = np.zeros(n, np.int64), np.abs(v) < 2.0 ** _BITS.get(kind, 63)
+        data[at] = np.rint(np.where(fits, v, 0)).astype(np.int64)
+        mask[at[~fits]] = True
+        return pa.array(data, pa.int64(), mask=mask).cast(arrow[n_key + i].type)
+
+    def flush(keys: list[pa.RecordBatch], n: int, triples: list[tuple]) -> pa.RecordBatch:
         heads = pa.Table.from_batches(keys).combine_chunks()
-        cols = [heads.column(i).combine_chunks() if heads.num_rows else pa.array([], arrow[i].type) for i in range(n_key)]
-        for i in range(width):
-            data = ints[i] if whole[i] else values[i]
-            cols.append(pa.array(data[:n], arrow[n_key + i].type, mask=~masks[i, :n]))
+        cols = [heads.column(i).combine_chunks() for i in range(n_key)]
+        col, row, v, ids = (np.concatenate([t[k] for t in triples]) if triples else np.zeros(0, np.int64) for k in range(4))
+        s = [x for t in triples for x in t[4]] if text else None
+        last = np.append((col[1:] != col[:-1]) | (row[1:] != row[:-1]), True)[: len(col)]  # a cell may go on from one batch to the next
+        by = np.flatnonzero(last)[np.argsort(col[last], kind="stable")]
+        ends = np.searchsorted(col[by], np.arange(width + 1))
+        mine = [by[ends[i] : ends[i + 1]] for i in range(width)]
+        cols += [column(i, n, row[m], v[m], [s[k] for k in m] if text else None) for i, m in enumerate(mine)]
         if provenance:
-            cols += [pa.array(ids[i, :n], pa.int64(), mask=~filled[i, :n]) for i in range(width)]
+            for m in mine:
+                data, mask = np.zeros(n, np.int64), np.ones(n, bool)
+                data[row[m]], mask[row[m]] = ids[m], False
+                cols.append(pa.array(data, pa.int64(), mask=mask))
         return pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     def run(batches):
-        values = np.zeros((width, BATCH))
-        ints = np.zeros((width, BATCH), np.int64)
-        ids = np.zeros((width, BATCH), np.int64)
-        masks = np.zeros((width, BATCH), bool)
-        filled = np.zeros((width, BATCH), bool)
-        n, keys, last = 0, [], None
+        n, keys, triples, last = 0, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -93,34 +150,29 @@ def widen(cells: DataFrame, entity: Sequence[str], catalog: Sequence[tuple[str,
             last = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in range(n_key))
             starts = np.flatnonzero(edge)
             entity_no = np.cumsum(edge) - 1 + n  # place of each row's entity, counted from the open batch's start
-            ix = batch.column(n_key).fill_null(-1).to_numpy(zero_copy_only=False)
-            v = batch.column(n_key + 1).to_numpy(zero_copy_only=False)
-            p = batch.column(n_key + 2).fill_null(0).to_numpy(zero_copy_only=False) if provenance else None
+            ix = batch.column(n_key).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = batch.column(n_key + 1).fill_null(0.0).to_numpy(zero_copy_only=False)
+            ids = batch.column(batch.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False) if provenance else ix
+            wins = ix >= 0
+            wins[:-1] &= (ix[1:] != ix[:-1]) | edge[1:]  # the last row of a cell
             done_rows, done_starts = 0, 0
             while done_rows < batch.num_rows:
                 # Rows of entities that still fit; if more begin, the batch is given out first.
-                stop = int(np.searchsorted(entity_no, BATCH))
-                part = slice(done_rows, stop)
+                stop = int(np.searchsorted(entity_no, size))
                 till = int(np.searchsorted(starts, stop))
                 if till > done_starts:
                     keys.append(heads.take(pa.array(starts[done_starts:till])))
                     n += till - done_starts
-                use = np.flatnonzero(ix[part] >= 0) + done_rows
-                values[ix[use], entity_no[use]] = v[use]
-                fits = np.abs(v[use]) < 2.0**63
-                masks[ix[use], entity_no[use]] = fits | ~np.array(whole)[ix[use]] if len(use) else True
-                filled[ix[use], entity_no[use]] = True
-                ints[ix[use], entity_no[use]] = np.rint(np.where(fits, v[use], 0)).astype(np.int64)
-                if provenance:
-                    ids[ix[use], entity_no[use]] = p[use]
+                use = np.flatnonzero(wins[done_rows:stop]) + done_rows
+                if len(use):
+                    triples.append((ix[use], entity_no[use], v[use], ids[use], batch.column(n_key + 2).take(pa.array(use)).to_pylist() if text else ()))
                 done_rows, done_starts = stop, till
                 if done_rows < batch.num_rows:
-                    yield flush(keys, n, values, ints, masks, ids, filled)
+                    yield flush(keys, n, triples)
                     entity_no = entity_no - n
-                    n, keys = 0, []
-                    masks[:] = filled[:] = False
+                    n, keys, triples = 0, [], []
         if n:
-            yield flush(keys, n, values, ints, masks, ids, filled)
+            yield flush(keys, n, triples)
 
     return rows.mapInArrow(run, schema)
 

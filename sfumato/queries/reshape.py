@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sfumato.operators.entries import entries, measure_key
 from sfumato.operators.packed import split_packed
-from sfumato.operators.wide import attribute_index, unpivot_cells, widen, winners
+from sfumato.operators.wide import attribute_index, cell_rows, unpivot_cells, widen
 from sfumato.session import table
 
 
@@ -22,7 +22,7 @@ def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]
     cols = ["run_id", "run_date", "measure", "value", "id"]
     rows = table(spark, d, "benchmarks").select(F.lit("benchmarks").alias("source"), *cols).unionByName(
         table(spark, d, "hyperparam").select(F.lit("hyperparam").alias("source"), *cols))
-    cells = winners(rows, ["source", "run_id"], attribute_index(rows, measure_key("measure"), keys), "value", ["run_date", "id"])
+    cells = cell_rows(rows, ["source", "run_id"], attribute_index(rows, measure_key("measure"), keys), "value", ["run_date", "id"], keys)
     return widen(cells, ["source", "run_id"], catalog, provenance="id"), catalog
 
 

@@ -8,7 +8,7 @@ from reference_split import split
 
 from sfumato.operators.entries import entries, measure_key, valid
 from sfumato.operators.packed import split_field, split_packed
-from sfumato.operators.wide import attribute_index, unpivot_cells, widen, winners
+from sfumato.operators.wide import attribute_index, cell_rows, unpivot_cells, widen
 
 FIELDS = [
     None, "", "  ", "[]", "( )", "1", "[1, 2]", "(20,)", "1,,2", ",1", "19, , ", " 2 , 8 ", "1 2\t3", "'a b@1' c@2", '"5"" shelf@1", "x|y@2"',
@@ -80,9 +80,9 @@ def test_packed_empty_table(spark):
 CATALOG = [("rmse", "double"), ("size", "bigint")]
 
 
-def _widen(spark, rows, **kw):
+def _widen(spark, rows, heavy_rows=100_000, **kw):
     df = spark.createDataFrame(rows, "run bigint, at timestamp, id bigint, m string, v double, _ix int, _v string, n int")
-    cells = winners(df, ["run"], attribute_index(df, measure_key("m"), CATALOG), "v", ["at", "id"])
+    cells = cell_rows(df, ["run"], attribute_index(df, measure_key("m"), CATALOG), "v", ["at", "id"], CATALOG, heavy_rows)
     return widen(cells, ["run"], CATALOG, **kw)
 
 
@@ -97,15 +97,37 @@ def test_wide_cells(spark):
         _row(1, 1, 4, "size", 7.0), _row(2, 1, 5, None, 1.0), _row(3, 1, 6, "rmse", inf), _row(None, 1, 7, "size", 2.6), _row(4, 1, 10, "size", 1e300),
         _row(1, 2, 3, "R-MSE", 3.0),
     ]
-    got = {r["run"]: (r["rmse"], r["size"], r["rmse__id"], r["size__id"]) for r in _widen(spark, rows, provenance="id").collect()}
-    assert got == {1: (3.0, 7, 3, 4), 2: (None,) * 4, 3: (None,) * 4, None: (None, 3, None, 7), 4: (None, None, None, 10)}
+    for heavy_rows in (100_000, 3, 0):  # no entity is heavy, the first is, all are
+        got = {r["run"]: (r["rmse"], r["size"], r["rmse__id"], r["size__id"]) for r in _widen(spark, rows, heavy_rows, provenance="id").collect()}
+        assert got == {1: (3.0, 7, 3, 4), 2: (None,) * 4, 3: (None,) * 4, None: (None, 3, None, 7), 4: (None, None, None, 10)}
+
+
+def test_wide_types(spark):
+    catalog = [("d", "double"), ("f", "float"), ("i", "int"), ("b", "boolean"), ("t", "timestamp"), ("s", "string"), ("l", "bigint")]
+    rows = [
+        (1, 1, "d", "1.5"), (1, 2, "f", "0.5"), (1, 3, "i", "7"), (1, 4, "b", "true"), (1, 5, "t", "2024-01-01 00:00:00"), (1, 6, "s", "x"), (1, 7, "s", "y"), (1, 8, "l", "5000000000"),
+        (2, 9, "i", "5000000000"), (2, 10, "d", "abc"), (2, 11, "b", "false"), (2, 12, "s", ""), (2, 13, "t", None), (3, 14, "z", "1"),
+    ]
+    df = spark.createDataFrame(rows, "e int, id bigint, m string, v string")
+    wide = widen(cell_rows(df, ["e"], attribute_index(df, F.col("m"), catalog), "v", ["id"], catalog), ["e"], catalog, provenance="id")
+    assert [wide.schema[c].dataType.simpleString() for c, _ in catalog] == ["double", "float", "int", "boolean", "timestamp", "string", "bigint"]
+    got = {r["e"]: tuple(r[c] for c, _ in catalog) for r in wide.collect()}
+    assert got == {1: (1.5, 0.5, 7, True, dt.datetime(2024, 1, 1), "y", 5_000_000_000), 2: (None, None, None, False, None, "", None), 3: (None,) * 7}
+    assert wide.where("e = 1").head()["s__id"] == 7 and wide.where("e = 2").head()["i__id"] == 9
+
+
+def test_wide_very_wide(spark):
+    catalog = [(f"c{i}", "double") for i in range(3000)]
+    df = spark.range(600).selectExpr("id % 200 AS e", "id", "concat('c', (id * 7) % 3000) AS m", "CAST(id AS DOUBLE) AS v")
+    wide = widen(cell_rows(df, ["e"], attribute_index(df, F.col("m"), catalog), "v", ["id"], catalog), ["e"], catalog)
+    assert {r["e"]: sum(x for x in r[1:] if x is not None) for r in wide.collect()} == {e: 3.0 * e + 600 for e in range(200)}
 
 
 def test_wide_many_entities_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         df = spark.range(20_000).selectExpr("id div 2 AS run", "timestamp'2024-01-01' AS at", "id", "CASE WHEN id % 2 = 0 THEN 'rmse' ELSE 'size' END AS m", "CAST(id AS DOUBLE) AS v").coalesce(1)
-        cells = winners(df, ["run"], attribute_index(df, measure_key("m"), CATALOG), "v", ["at", "id"])
+        cells = cell_rows(df, ["run"], attribute_index(df, measure_key("m"), CATALOG), "v", ["at", "id"], CATALOG)
         wide = widen(cells, ["run"], CATALOG, provenance="id")
         assert wide.count() == 10_000
         assert wide.where("rmse = run * 2 AND size = run * 2 + 1 AND rmse__id = run * 2").count() == 10_000
