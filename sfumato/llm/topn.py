@@ -9,6 +9,7 @@ of the salt.  Both parts are united.  Spark cuts each window's input to N rows a
 
 A group is heavy above ``heavy_rows`` rows and above a MAX_HEAVY-th of all rows, so there are fewer than MAX_HEAVY of them;
 that proves the bound of what is broadcast: one row a heavy group, or a row for each of its ranges.
+The rows are read by several passes and so are written once, to the shared checkpoint folder.
 
 Defined results: the order is that of the order columns, ascending, NULLs last; the last of them should be unique, else
 rows equal in all are taken in an unspecified order; a NULL in a group column makes a group like any other; no group is
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sfumato.session import cut
+
 #: Fewer groups than this are heavy, by definition.
 MAX_HEAVY = 10_000
 
@@ -35,31 +38,32 @@ def top_n(
     gs, os_ = [f"g{i}" for i in range(len(group))], [f"o{i}" for i in range(len(order))]
     src = df.select(*(F.col(f"`{c}`").alias(g) for c, g in zip(group, gs, strict=True)), *(F.col(f"`{c}`").alias(o) for c, o in zip(order, os_, strict=True)), row.alias("row"))
     keys = [F.col(o).asc_nulls_last() for o in os_]
-    counts = src.groupBy(*gs).agg(F.count(F.lit(1)).alias("rows"))
-    least = F.greatest(F.lit(heavy_rows), F.coalesce(counts.agg(F.sum("rows")).scalar() / MAX_HEAVY, F.lit(0)))
-    heavy = counts.where(F.col("rows") > least).select(*(F.col(g).alias(f"h_{g}") for g in gs), F.lit(True).alias("heavy"))
-    on = [F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in gs]
-    flagged = src.join(F.broadcast(heavy), on, "left").drop(*(f"h_{g}" for g in gs))
-    cold = flagged.where(F.col("heavy").isNull()).drop("heavy")
-    hot = flagged.where(F.col("heavy")).drop("heavy")
+    src = cut(src)
+    least = max(heavy_rows, src.count() // MAX_HEAVY)
+    heavy = cut(src.groupBy(*gs).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > least).select(*gs))
 
     def ranked(x: DataFrame, by: Sequence[str]) -> DataFrame:
         return x.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).where(F.col("rnk") <= n)
 
-    number = df.schema[order[0]].dataType.typeName() not in ("string", "binary", "boolean")
-    if number:
-        cuts = (
-            hot.groupBy(*(F.col(g).alias(f"h_{g}") for g in gs))
-            .agg(F.percentile_approx("o0", [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))
-        )
+    if heavy.isEmpty():
+        return ranked(src, gs).select("row.*", "rnk")
+
+    def bounded(small: DataFrame) -> DataFrame:
+        """A table of bounded size for joins with the group columns, which are named h_... in it."""
+        return F.broadcast(small.withColumnsRenamed({g: f"h_{g}" for g in gs}))
+
+    on = [F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in gs]
+    split = bounded(heavy)
+    cold, hot = src.join(split, on, "left_anti"), src.join(split, on, "left_semi")
+    if df.schema[order[0]].dataType.typeName() not in ("string", "binary", "boolean"):
+        cuts = bounded(cut(hot.groupBy(*gs).agg(F.percentile_approx("o0", [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))))
         bucket = F.when(F.col("o0").isNull(), F.lit(ranges)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("o0"))))
-        hot = hot.join(F.broadcast(cuts), on, "left").drop(*(f"h_{g}" for g in gs)).withColumn("bucket", bucket).drop("cuts")
+        hot = hot.join(cuts, on).drop(*(f"h_{g}" for g in gs)).withColumn("bucket", bucket).drop("cuts")
         # Ranges before which there are fewer than n rows; at most ranges + 1 rows a heavy group.
-        before = F.sum("rows").over(Window.partitionBy(*gs).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
         sizes = hot.groupBy(*gs, "bucket").agg(F.count(F.lit(1)).alias("rows"))
-        needed = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n)
-        needed = needed.select(*(F.col(g).alias(f"h_{g}") for g in gs), F.col("bucket").alias("h_bucket"))
-        hot = hot.join(F.broadcast(needed), [*on, F.col("bucket") == F.col("h_bucket")], "left_semi")
+        before = F.sum("rows").over(Window.partitionBy(*gs).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        needed = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).select(*gs, F.col("bucket").alias("h_bucket"))
+        hot = hot.join(bounded(cut(needed)), [*on, F.col("bucket") == F.col("h_bucket")], "left_semi")
     else:  # only numbers and times have percentiles; the salt alone shares other columns out
         hot = hot.withColumn("bucket", F.lit(0))
     parts = ranked(hot.withColumn("salt", F.pmod(F.xxhash64(*os_), F.lit(salts))), [*gs, "bucket", "salt"]).drop("rnk", "bucket", "salt")
