@@ -33,6 +33,10 @@ _STATE = [
 ]
 
 
+#: Groups whose bounds are broadcast; a row has the keys and a few numbers.
+BROADCAST = 200_000
+
+
 class Summary:
     """The summary of one group; see the module's docstring."""
 
@@ -233,14 +237,16 @@ def exact_percentiles(df: DataFrame, bounds: DataFrame, keys: Sequence[str], val
     """Exact percentiles of the groups in bounds (a result of percentiles), by looking only between the bounds.
 
     Values at or below a lower bound are only counted; those between the bounds are counted by value and searched by a
-    running sum.  Both counts combine on the map side.
+    running sum.  Both counts combine on the map side.  bounds should be a written table: its rows are counted, and up to
+    BROADCAST of them are broadcast, so that rows of hot groups stay where they lie; beyond that a shuffle join is used.
     """
     on = None
+    few = bounds.limit(BROADCAST + 1).count() <= BROADCAST
     b = bounds.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), "n", *(f"p{q}_{s}" for q in qs for s in ("low", "high")))
     for i, c in enumerate(keys):
         same = F.col(c).eqNullSafe(F.col(f"_k{i}"))
         on = same if on is None else on & same
-    rows = df.where(valid(value)).select(*keys, F.col(value).cast("double").alias("_v")).join(b, on)
+    rows = df.where(valid(value)).select(*keys, F.col(value).cast("double").alias("_v")).join(F.broadcast(b) if few else b, on)
     ranges = F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"p{q}_low").alias("low"), F.col(f"p{q}_high").alias("high")) for q in qs))
     rows = rows.select(*keys, "n", "_v", F.explode(ranges).alias("r")).where(F.col("_v") <= F.col("r.high"))
     inside = F.when((F.col("_v") > F.col("r.low")) | (F.col("r.low") == F.col("r.high")), F.col("_v"))

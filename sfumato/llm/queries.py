@@ -22,7 +22,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups whose 90th percentile exceeds 8 times the median: decided by the summaries' bounds where these suffice,
     by the exact search between the bounds where they don't."""
     rows = _run_times(spark, d)
-    bounds = percentile.percentiles(percentile.merge(percentile.summarize(rows, KEYS, "value"), KEYS), KEYS, (50, 90)).where(F.col("n") >= 10)
+    # One row a group, written once: the sure groups, the open ones and the size of the search come from it.
+    bounds = cut(percentile.percentiles(percentile.merge(percentile.summarize(rows, KEYS, "value"), KEYS), KEYS, (50, 90)).where(F.col("n") >= 10))
     sure = bounds.where(F.col("p90_low") > 8 * F.col("p50_high"))
     open_ = bounds.where((F.col("p90_low") <= 8 * F.col("p50_high")) & (F.col("p90_high") > 8 * F.col("p50_low")))
     found = percentile.exact_percentiles(rows, open_, KEYS, "value", (50, 90)).where(F.col("p90") > 8 * F.col("p50"))
@@ -32,7 +33,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles with bounds, from summaries made apart for each day and put together afterwards."""
     rows = _run_times(spark, d, "run_date").withColumn("day", F.to_date("run_date"))
-    days = percentile.summarize(rows.repartition("day", F.pmod(F.xxhash64("id"), F.lit(8))), [*KEYS, "day"], "value")
+    days = percentile.summarize(rows, [*KEYS, "day"], "value")
     return percentile.percentiles(percentile.merge(days, KEYS), KEYS, (25, 50, 75, 90, 99))
 
 
