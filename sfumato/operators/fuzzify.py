@@ -67,6 +67,28 @@ def with_fired(df: DataFrame, part: Partition, x: str, out: str, alpha: float =
     return df.withColumn(out, F.when(i.isNotNull(), got)).drop("_y", "_i", "_w")
 
 
+def with_slots(df: DataFrame, part: Partition, x: str | Column, out: str, alpha: float = 0.0) -> DataFrame:
+    """Adds the sets fired(part, x) gives on a grid as a struct of plain values: a, amu and, NULL where only one fires, b, bmu."""
+    c0, p = part.grid
+    n = len(part)
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    place = (F.greatest(F.least(c, F.lit(c0 + (n + 1) * p)), F.lit(c0 - 2 * p)) - F.lit(c0)) / F.lit(p)
+    df = df.withColumn("_y", F.when(c.isNotNull(), place)).withColumn("_i", F.floor("_y").cast("int")).withColumn("_w", F.col("_y") - F.col("_i"))
+    i, w = F.col("_i"), F.col("_w")
+    inside = F.when(i < 0, 0).when(i >= n, n - 1).otherwise(i)
+    both = (i >= 0) & (i < n - 1) & (w > 0)
+    if alpha <= 0:
+        a, amu = inside, F.when((i >= 0) & (i < n), 1.0 - w).when((i == -1) & (w > 0), w).otherwise(1.0)
+    else:  # the set below or above may fall short of alpha
+        low, high = (i >= 0) & (i < n) & (1.0 - w >= alpha), (i >= -1) & (i < n - 1) & (w > 0) & (w >= alpha)
+        near = F.least(F.greatest(F.when(w > 0.5, i + 1).otherwise(i), F.lit(0)), F.lit(n - 1))
+        a, amu = F.when(low, i).when(high, i + 1).otherwise(near), F.when(low, 1.0 - w).when(high, w).otherwise(1.0)
+        both = both & (1.0 - w >= alpha) & (w >= alpha)
+    df = df.withColumns({"_a": a, "_amu": amu, "_b": F.when(both, i + 1)})
+    slots = F.struct(F.col("_a").alias("a"), F.col("_amu").alias("amu"), F.col("_b").alias("b"), F.when(F.col("_b").isNotNull(), w).alias("bmu"))
+    return df.withColumn(out, F.when(i.isNotNull(), slots)).drop("_y", "_i", "_w", "_a", "_amu", "_b")
+
+
 def nearest_set(part: Partition, x: Column) -> Column:
     """Index of the set whose centroid is nearest, ties to the lower one."""
     if part.grid is not None:

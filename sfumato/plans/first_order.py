@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sfumato.operators.fuzzify import fired, maximum
+from sfumato.operators.fuzzify import fired, maximum, with_slots
 from sfumato.operators.partition import Partition
 from sfumato.operators.rules import nonrecurrent, occurrence, small, transitions
+from sfumato.plans import in_row
 
 
 def _mean(df: DataFrame, weight) -> DataFrame:
@@ -104,10 +105,27 @@ def song_rules(tr: DataFrame, part: Partition) -> DataFrame:
 
 
 def song_predict(df: DataFrame, relation: DataFrame, part: Partition, x: str = "x") -> DataFrame:
-    """Max-min composition, then the mean centroid of the sets of greatest degree."""
+    """Max-min composition, then the mean centroid of the sets of greatest degree; within the row where the relation is small."""
+    if in_row.fits([part, part]):
+        return _song_in_row(df, relation, part, x)
     f = df.select("t", F.explode(fired(part, F.col(x))).alias("f")).select("t", F.col("f.set_ix").alias("i"), "f.mu")
     y = f.join(small(relation, len(part) ** 2), "i").groupBy("t", "j").agg(F.max(F.least("mu", "r")).alias("y"))
     best = y.withColumn("best", F.max("y").over(Window.partitionBy("t"))).where((F.col("y") == F.col("best")) & (F.col("y") > 0))
     mean = best.groupBy("t").agg(F.avg(part.centroid(F.col("j"))).alias("yhat"))
     own = df.select("t", part.centroid(maximum(part, F.col(x))).alias("own"))
     return own.join(mean, "t", "left").select((F.col("t") + 1).alias("target_t"), F.coalesce("yhat", "own").alias("yhat"))
+
+
+def _song_in_row(df: DataFrame, relation: DataFrame, part: Partition, x: str) -> DataFrame:
+    n = len(part)
+    cells = {(r["i"], r["j"]): r["r"] for r in relation.limit(n * n).collect()}
+    rows = F.array(*(in_row.literal([repr(float(cells.get((i, j), 0.0))) for j in range(n)]) for i in range(n)))
+    src = with_slots(df.select("t", F.col(x).cast("double").alias("x")), part, "x", "s")
+    # Array functions keep the code of a row small, whatever the number of sets.
+    low = F.transform(F.get(rows, F.col("s.a")), lambda r: F.least(r, F.col("s.amu")))
+    both = F.zip_with(low, F.transform(F.get(rows, F.col("s.b")), lambda r: F.least(r, F.col("s.bmu"))), lambda a, b: F.greatest(a, b))
+    src = src.select("t", "x", F.when(F.col("s.b").isNull(), low).otherwise(both).alias("y")).withColumn("best", F.array_max("y"))
+    hit = F.filter(F.transform("y", lambda y, j: F.when((y == F.col("best")) & (y > 0), part.centroid(j))), lambda c: c.isNotNull())
+    src = src.select("t", "x", hit.alias("hit"))
+    mean = F.try_divide(F.aggregate("hit", F.lit(0.0), lambda a, c: a + c), F.size("hit"))
+    return src.select((F.col("t") + 1).alias("target_t"), F.coalesce(mean, part.centroid(maximum(part, F.col("x")))).alias("yhat"))

@@ -14,11 +14,15 @@ from sfumato.operators.fuzzify import clip, degrees
 from sfumato.operators.partition import Partition
 from sfumato.operators.rules import paths, small
 from sfumato.operators.series import with_lags
+from sfumato.plans import in_row
 
 
 def rules(df: DataFrame, part: Partition, lags: Sequence[int], weighted: bool, alpha: float = 0.0, fuzzy: Column | None = None) -> DataFrame:
     """path, mid, lower, upper, n: plain means and extremes over distinct successors, or means by frequency."""
-    seen = paths(df, part, lags, alpha, rhs=True, fuzzy=fuzzy).groupBy("path", "rhs_ix").agg(F.count(F.lit(1)).alias("n"))
+    if fuzzy is None and in_row.learns([part] * (len(lags) + 1)):
+        seen = in_row.rules(df, part, lags, alpha)
+    else:
+        seen = paths(df, part, lags, alpha, rhs=True, fuzzy=fuzzy).groupBy("path", "rhs_ix").agg(F.count(F.lit(1)).alias("n"))
     c, lo, up = part.centroid(F.col("rhs_ix")), part.lower(F.col("rhs_ix")), part.upper(F.col("rhs_ix"))
     n = F.sum("n")
     if weighted:
@@ -30,8 +34,16 @@ def rules(df: DataFrame, part: Partition, lags: Sequence[int], weighted: bool, a
 def forecast(df: DataFrame, part: Partition, rule_table: DataFrame, lags: Sequence[int], mode: str = "mean", alpha: float = 0.0, fuzzy: Column | None = None) -> DataFrame:
     """target_t, yhat, lower, upper.  mode 'mean' averages the midpoints of the paths, 'weighted' weights them by mu.
 
-    Paths of one target come from one row, so the aggregation's map side leaves one row a target.
+    Within the row where the rules are few enough; else by a join, whose map side leaves one row a target.
     """
+    if fuzzy is None and in_row.fits([part] * len(lags)):
+        p = in_row.lagged_paths(df, part, lags, "min", alpha)
+        own = {"mid": lambda k: part[k[-1]].centroid, "lower": lambda k: part[k[-1]].lower, "upper": lambda k: part[k[-1]].upper}
+        r = in_row.Rules(rule_table, [len(part)] * len(lags), ("mid", "lower", "upper"), own)
+        total = lambda col: p.sum(lambda c: p.degree(c) * r.get(col, p.number(c)))
+        src = p.df.withColumns({"_n": p.sum(p.degree), "_k": p.sum(lambda c: F.when(p.number(c).isNotNull(), 1.0))})
+        y = p.sum(lambda c: r.get("mid", p.number(c))) / F.col("_k") if mode == "mean" else total("mid") / F.col("_n")
+        return src.select(F.col("t").alias("target_t"), y.alias("yhat"), (total("lower") / F.col("_n")).alias("lower"), (total("upper") / F.col("_n")).alias("upper"))
     fired_paths = paths(df, part, lags, alpha, fuzzy=fuzzy)
     j = fired_paths.join(small(rule_table, len(part) ** len(lags)), "path", "left")
     mid = F.coalesce("mid", part.centroid(F.col("newest")))
@@ -64,6 +76,8 @@ def hwang(df: DataFrame, part: Partition, order: int = 2, x: str = "x") -> DataF
 def pwfts_rules(df: DataFrame, part: Partition, lags: Sequence[int], h: int = 1, fuzzy: Column | None = None) -> DataFrame:
     """path, rhs_ix, mass: the sum of degree products over the whole series."""
     lagged = [o + h - 1 for o in lags]
+    if fuzzy is None and in_row.learns([part] * (len(lags) + 1)):
+        return in_row.rules(df, part, lagged, mass=True)
     p = paths(df, part, lagged, rhs=True, fuzzy=fuzzy)
     return p.groupBy("path", "rhs_ix").agg(F.sum(F.col("mu_prod") * F.col("rhs_mu")).alias("mass"))
 
@@ -80,6 +94,8 @@ def pwfts_groups(mass: DataFrame, part: Partition) -> DataFrame:
 
 def pwfts_point(df: DataFrame, part: Partition, groups: DataFrame, lags: Sequence[int], fuzzy: Column | None = None) -> DataFrame:
     """target_t, yhat, lower, upper: means over the fired left sides, weighted by degree times the left side's share."""
+    if fuzzy is None and in_row.fits([part] * len(lags)):
+        return _pwfts_in_row(df, part, groups, lags)
     j = paths(df, part, lags, fuzzy=fuzzy).join(small(groups, len(part) ** len(lags)), "path", "left")
     p = F.coalesce("p", F.lit(1.0))
     norm = F.when(F.col("mu_prod") * p > 0, F.col("mu_prod") * p).otherwise(p)
@@ -92,6 +108,19 @@ def pwfts_point(df: DataFrame, part: Partition, groups: DataFrame, lags: Sequenc
         (F.sum(norm * mid) / n).alias("yhat"), (F.sum(norm * lo) / n).alias("lower"), (F.sum(norm * up) / n).alias("upper"))
 
 
+def _pwfts_in_row(df: DataFrame, part: Partition, groups: DataFrame, lags: Sequence[int]) -> DataFrame:
+    p = in_row.lagged_paths(df, part, lags, "product")
+    own = {
+        "p": lambda k: 1.0, "mid": lambda k: sum(part[i].centroid for i in k) / len(k), "lower": lambda k: min(part[i].lower for i in k), "upper": lambda k: max(part[i].upper for i in k),
+    }
+    r = in_row.Rules(groups, [len(part)] * len(lags), tuple(own), own)
+    src = p.df.withColumns({f"q{c}": r.get("p", p.number(c)) for c in p.range})
+    src = src.withColumns({f"w{c}": F.when(p.degree(c) * F.col(f"q{c}") > 0, p.degree(c) * F.col(f"q{c}")).otherwise(F.col(f"q{c}")) for c in p.range})
+    src = src.withColumn("_n", p.sum(lambda c: F.col(f"w{c}")))
+    mean = lambda col: p.sum(lambda c: F.col(f"w{c}") * r.get(col, p.number(c))) / F.col("_n")
+    return src.select(F.col("t").alias("target_t"), mean("mid").alias("yhat"), mean("lower").alias("lower"), mean("upper").alias("upper"))
+
+
 def rule_bins(mass: DataFrame, groups: DataFrame, part: Partition, bins: int = 100) -> DataFrame:
     """path, ps (p over the path's mass Z), bin_ix, bin, w: densities of each left side, independent of the data."""
     z = part.mass(bins)
@@ -111,6 +140,8 @@ def pwfts_distribution(df: DataFrame, part: Partition, mass: DataFrame, lags: Se
     groups = pwfts_groups(mass, part)
     rb = rule_bins(mass, groups, part, bins)
     z = part.mass(bins)
+    if fuzzy is None and in_row.fits([part] * len(lags), bins):
+        return _distribution_in_row(df, part, rb, lags, bins)
     total = groups.select("path", (F.col("p") / F.aggregate(F.col("path"), F.lit(0.0), lambda a, i: a + part._pick(i, z))).alias("ps"))
     fired_paths = paths(df, part, lags, fuzzy=fuzzy).select("t", "path", "mu_prod")
     bound = len(part) ** len(lags)
@@ -121,6 +152,21 @@ def pwfts_distribution(df: DataFrame, part: Partition, mass: DataFrame, lags: Se
     return mixed.groupBy(F.col("t").alias("target_t"), "bin_ix", "bin").agg(F.sum(F.col("m") * F.col("w") / F.col("all")).alias("density"))
 
 
+def _distribution_in_row(df: DataFrame, part: Partition, rb: DataFrame, lags: Sequence[int], bins: int) -> DataFrame:
+    """The weights of a row's paths are normalised before its bins are laid out, so that a bin is one sum of few terms."""
+    p = in_row.lagged_paths(df, part, lags, "product")
+    sizes = [len(part)] * len(lags)
+    share = in_row.Rules(rb.groupBy("path").agg(F.first("ps").alias("ps")), sizes, ("ps",))
+    density = in_row.Rules(rb.select(F.concat("path", F.array("bin_ix")).alias("path"), "w"), [*sizes, bins], ("w",))
+    src = p.df.withColumns({f"m{c}": F.coalesce(p.degree(c) * share.get("ps", p.number(c)), F.lit(0.0)) for c in p.range})
+    every = p.sum(lambda c: F.col(f"m{c}"))
+    src = src.withColumn("every", every).where(F.col("every") > 0).select("t", *(f"n{c}" for c in p.range), *((F.col(f"m{c}") / F.col("every")).alias(f"m{c}") for c in p.range))
+    src = src.withColumn("bin_ix", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    y = p.sum(lambda c: F.col(f"m{c}") * density.get("w", p.number(c) * bins + F.col("bin_ix")))
+    at = in_row.literal([repr(part.lo + k * (part.hi - part.lo) / (bins - 1)) for k in range(bins)])
+    return src.select(F.col("t").alias("target_t"), "bin_ix", F.get(at, F.col("bin_ix")).alias("bin"), y.alias("density")).where(F.col("density") > 0)
+
+
 def quantiles(dist: DataFrame, qs: Sequence[float], t: str = "target_t") -> DataFrame:
     """t and q<percent>: the first bin at which the distribution reaches each q."""
     w = Window.partitionBy(t).orderBy("bin_ix")

@@ -21,6 +21,7 @@ from sfumato.functions.membership import membership
 from sfumato.functions.scalars import PERTURBATIONS
 from sfumato.operators.partition import Partition
 from sfumato.operators.rules import paths, small
+from sfumato.plans import in_row
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,15 @@ class Moving:
         """The time that displaces a row: the start of its window."""
         return t - F.pmod(t, F.lit(self.window))
 
+    @property
+    def uniform(self) -> bool:
+        """Whether all sets move alike and keep their width: then the sets of x at t are the grid's of x less the displacement."""
+        return self.part.grid is not None and len(set(self.location)) == 1 and not any(v for w in self.width for v in w)
+
+    def still(self, x: Column, t: Column) -> Column:
+        """x less the displacement at t (of uniform sets)."""
+        return x - PERTURBATIONS["polynomial"](self.time(t), self.location[0])
+
     def degrees(self, x: Column, t: Column) -> Column:
         w = self.time(t)
         out = []
@@ -111,7 +121,11 @@ def polynomial(df: DataFrame, part: Partition, window: int, degree: int = 2) ->
 
 def rules(df: DataFrame, m: Moving, lags: Sequence[int] = (1,), weighted: bool = False) -> DataFrame:
     """path, mid, lower, upper, and k0, k1, ...: mean location coefficients of the successors."""
-    seen = paths(df, None, lags, rhs=True, fuzzy=m.fired(F.col("x"), F.col("t"))).groupBy("path", "rhs_ix").agg(F.count(F.lit(1)).alias("n"))
+    x, t = F.col("x"), F.col("t")
+    if m.uniform and in_row.learns([m.part] * (len(lags) + 1)):
+        seen = in_row.rules(df, m.part, lags, x=m.still(x, t))
+    else:
+        seen = paths(df, None, lags, rhs=True, fuzzy=m.fired(x, t)).groupBy("path", "rhs_ix").agg(F.count(F.lit(1)).alias("n"))
     w = F.col("n") if weighted else F.lit(1)
     p, j = m.part, F.col("rhs_ix")
     mean = lambda c: F.sum(w * c) / F.sum(w)
@@ -123,6 +137,8 @@ def rules(df: DataFrame, m: Moving, lags: Sequence[int] = (1,), weighted: bool =
 def forecast(df: DataFrame, m: Moving, rule_table: DataFrame, lags: Sequence[int] = (1,)) -> DataFrame:
     """target_t, yhat, lower, upper, with the rules' midpoints at the time of the newest input."""
     width = max(map(len, m.location))
+    if m.uniform and in_row.fits([m.part] * len(lags)):
+        return _forecast_in_row(df, m, rule_table, lags, width)
     f = paths(df, None, lags, fuzzy=m.fired(F.col("x"), F.col("t")))
     j = f.join(small(rule_table, len(m.part) ** len(lags)), "path", "left")
     at = m.time(F.col("t") - 1)
@@ -136,6 +152,28 @@ def forecast(df: DataFrame, m: Moving, rule_table: DataFrame, lags: Sequence[int
         val("mid", m.part.centroid).alias("yhat"), val("lower", m.part.lower).alias("lower"), val("upper", m.part.upper).alias("upper"))
 
 
+def _forecast_in_row(df: DataFrame, m: Moving, rule_table: DataFrame, lags: Sequence[int], width: int) -> DataFrame:
+    """For sets that move alike: slots of the grid after the displacement is taken off."""
+    part = m.part
+    p = in_row.lagged_paths(df, part, lags, "product", x=m.still(F.col("x"), F.col("t")))
+    ks = [f"k{q}" for q in range(width)]
+    alike = (0.0,) * (width - len(m.location[0])) + tuple(m.location[0])
+    own = {"mid": lambda k: part[k[-1]].centroid, "lower": lambda k: part[k[-1]].lower, "upper": lambda k: part[k[-1]].upper}
+    own |= {k: (lambda _, v=v: v) for k, v in zip(ks, alike, strict=True)}
+    r = in_row.Rules(rule_table, [len(part)] * len(lags), tuple(own), own)
+    at = m.time(F.col("t") - 1)
+
+    def shift(c: int) -> Column:
+        out = F.lit(0.0)
+        for k in ks:
+            out = out * at + r.get(k, p.number(c))
+        return out
+
+    src = p.df.withColumns({f"d{c}": shift(c) for c in p.range} | {"_n": p.sum(p.degree)})
+    mean = lambda col: p.sum(lambda c: p.degree(c) * (r.get(col, p.number(c)) + F.col(f"d{c}"))) / F.col("_n")
+    return src.select(F.col("t").alias("target_t"), mean("mid").alias("yhat"), mean("lower").alias("lower"), mean("upper").alias("upper"))
+
+
 class Conditional:
     """State of one series: residual memory and the last excesses beyond the universe.  Triangles only.
 
