@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sfumato.operators.partition import Partition
 from sfumato.operators.rules import SMALL
+from sfumato.session import cut
 
 
 @dataclass
@@ -179,11 +180,11 @@ def multivariate_ahead(last: DataFrame, future: DataFrame, step: Callable[[DataF
     """horizon, t, yhat: the target of each step comes from `step` (a plan: frame with t and all variables -> target_t, yhat),
     the other variables from `future` (t and their columns).
 
-    One row a series enters each step, so the plans are small joins.
+    One row a series enters each step; a step's rows are written before the next reads them, so plans don't grow with the steps.
     """
     now, out = last, None
     for h in range(1, steps + 1):
-        y = step(now).select(F.col("target_t").alias("t"), F.col("yhat").alias(target))
+        y = cut(step(now).select(F.col("target_t").alias("t"), F.col("yhat").alias(target)))
         part = y.select(F.lit(h).alias("horizon"), "t", F.col(target).alias("yhat"))
         out = part if out is None else out.unionByName(part)
         now = future.drop(target).join(y, "t")

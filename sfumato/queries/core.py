@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sfumato.queries import harness, measures, models, more, reshape, univariate
+from sfumato.queries import harness, measures, models, more, reshape, twins, univariate
 
 MODULES = (univariate, measures, models, more, harness, reshape)
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v for m in (*MODULES, twins) for k, v in m.SQL.items()}

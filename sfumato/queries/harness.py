@@ -53,7 +53,7 @@ def rossler(spark, d):
 
 @query()
 def mackey_glass(spark, d):
-    return synthetic.chaos(spark, "mackey_glass", 1000).select("t", "x")
+    return rounded(synthetic.chaos(spark, "mackey_glass", 1000).select("t", "x"), "x")
 
 
 @query()
@@ -203,10 +203,10 @@ def stream_windows(spark, d):
 
 @query()
 def stream_drift(spark, d):
-    return online.collect_stream(online.drift_state(_stream(spark, d).select("series_id", "t", "x")), _folder(spark))
+    return rounded(online.collect_stream(online.drift_state(_stream(spark, d).select("series_id", "t", "x")), _folder(spark)), "drift")
 
 
 @query()
 def stream_sessions(spark, d):
-    out = online.sessions(_stream(spark, d)).select("series_id", F.col("w.start").alias("began"), "n")
+    out = online.sessions(_stream(spark, d)).select("series_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
     return online.collect_whole(out, _folder(spark))

@@ -156,7 +156,8 @@ def portmanteau(spark, d):
 @query()
 def residual_analysis(spark, d):
     r = M.residuals(_chen(spark, d))
-    return spark.createDataFrame([(r["mean"], r["std"], r["q"], r["p"], r["h0"])], "mean double, std double, q double, p double, h0 string")
+    one = spark.createDataFrame([(r["mean"], r["std"], r["q"], r["p"], r["h0"])], "mean double, std double, q double, p double, h0 string")
+    return rounded(one, "mean", "std", "p").withColumn("q", F.round("q", 4))
 
 
 _HIST = f"WITH {S}, hb AS (SELECT CAST(least(greatest(ceil(x / (500.0::DOUBLE / 49)), 0), 49) AS INTEGER) AS bin_ix, count(*) AS n FROM s GROUP BY 1), hd AS (SELECT bin_ix, bin_ix * (500.0::DOUBLE / 49) AS bin, n / sum(n) OVER () AS density FROM hb)"

@@ -17,7 +17,7 @@ from sfumato.queries.models import _ENS, _dense_panel, _members, _mv
 from sfumato.queries.models import SQL as MODELS
 from sfumato.queries.univariate import _OUT, _RULE_SQL, TRANS
 from sfumato.queries.univariate import SQL as UNI
-from sfumato.session import table
+from sfumato.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,7 +102,7 @@ def pwfts_ahead_distribution(spark, d):
 @query()
 def mvfts_ahead(spark, d):
     s, vs, x = _mv(spark, d)
-    rules = mv.rules(s, vs, x, weighted=True)
+    rules = cut(mv.rules(s, vs, x, weighted=True))  # read by every step
     end = s.agg(F.max("t")).head()[0]
     future = spark.range(1, 6).select((F.col("id") + end).alias("t"), F.lit(0.0).alias("x"), F.pmod(F.col("id"), F.lit(24)).cast("double").alias("h"))
     return rounded(ahead.multivariate_ahead(s.where(F.col("t") == end).select("t", "x", "h"), future, lambda now: mv.forecast(now, vs, x, rules), "x", 5), "yhat")
@@ -154,7 +154,8 @@ def clustered_weighted(spark, d):
 @query()
 def clustered_distribution(spark, d):
     s, p, f = _clustered(spark, d)
-    return rounded(high_order.pwfts_distribution(s, p, high_order.pwfts_rules(s, p, (1,), fuzzy=f), (1,), 20, fuzzy=f), "density")
+    out = high_order.pwfts_distribution(s, p, high_order.pwfts_rules(s, p, (1,), fuzzy=f), (1,), 20, fuzzy=f)
+    return rounded(out, "bin", "density").where(F.col("density") > 0)
 
 
 @query()
