@@ -146,18 +146,43 @@ def _between(points: Sequence[float], mf: str, lo: float, hi: float) -> Partitio
     return Partition(tuple(sets), lo, hi)
 
 
-def histogram(df: DataFrame, x: str, limit: int = 1_000_000) -> list[tuple[float, int]]:
-    """(value, count) in order.  More than `limit` distinct values are put in as many equal-width bins first, so the
-    driver's share is bounded; every row counts."""
+#: Distinct values that may come to the driver; where there are more, the same steps run over all rows.
+DRIVER_VALUES = 1_000_000
+
+
+def _finite(df: DataFrame, x: str) -> DataFrame:
     c = F.col(x).cast("double")
-    rows = df.where(c.isNotNull() & ~F.isnan(c)).select(c.alias("x"))
-    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    got = counts.limit(limit + 1).collect()
-    if len(got) > limit:
-        lo, hi = universe(df, x, 0.0)
-        k = F.floor((F.col("x") - lo) / (hi - lo) * (limit - 1))
-        got = rows.groupBy(k.alias("k")).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r["x"], r["n"]) for r in got)
+    return df.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))).select(c.alias("x"))
+
+
+def histogram(rows: DataFrame, limit: int) -> list[tuple[float, int]] | None:
+    """(value, count) of x in order; None where there are more than `limit` distinct values."""
+    got = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
+    return sorted((r["x"], r["n"]) for r in got) if len(got) <= limit else None
+
+
+def value_at(rows: DataFrame, rank: int, limit: int) -> float:
+    """The smallest value of x with at least `rank` values at or below it, exactly.
+
+    The range is narrowed by approximate percentiles whose parts are counted exactly, until its values fit the driver.
+    """
+    while (values := histogram(rows, limit)) is None:
+        cuts = sorted(set(rows.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 10_000).alias("q")).head()["q"]))
+        ends = F.array(*map(F.lit, cuts))
+        part = F.size(F.filter(ends, lambda c: c < F.col("x")))
+        got = rows.withColumn("k", part).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == F.get(ends, F.col("k"))).alias("end")).collect()
+        counts, at_end = {r["k"]: r["n"] for r in got}, {r["k"]: r["end"] for r in got}
+        k = 0
+        while rank > counts.get(k, 0):
+            rank, k = rank - counts.get(k, 0), k + 1
+        if rank > counts[k] - at_end[k]:
+            return cuts[k]
+        rows = rows.where((F.col("x") > cuts[k - 1]) if k else F.lit(True)).where((F.col("x") < cuts[k]) if k < len(cuts) else F.lit(True))
+    for v, n in values:
+        rank -= n
+        if rank <= 0:
+            return v
+    return values[-1][0]
 
 
 def entropy_thresholds(values: Sequence[tuple[float, int]], n: int) -> list[float]:
@@ -186,9 +211,39 @@ def entropy_thresholds(values: Sequence[tuple[float, int]], n: int) -> list[floa
     return out
 
 
-def entropy(df: DataFrame, x: str, n: int = 10, mf: str = "trimf") -> Partition:
+def _split_entropy(q: float) -> float:
+    return 1.0 if q in (0.0, 1.0) else -(q * math.log(q) + (1 - q) * math.log(1 - q))
+
+
+def _entropy_over_rows(rows: DataFrame, n: int, limit: int) -> list[float]:
+    """entropy_thresholds where the values don't fit the driver.
+
+    The two-part entropy rises up to the half of the rows, so it falls first at the value that reaches the half or at the next.
+    """
+    values = histogram(rows, limit)
+    if values is not None:
+        return entropy_thresholds(values, n)
+    total = rows.count()
+    mid = value_at(rows, -(-total // 2), limit)
+    at = rows.agg(F.count_if(F.col("x") < mid).alias("a"), F.count_if(F.col("x") <= mid).alias("b"), F.min(F.when(F.col("x") > mid, F.col("x"))).alias("next")).head()
+    falls = at["a"] > 0 and _split_entropy(at["b"] / total) < _split_entropy(at["a"] / total)
+    theta = mid if falls or at["next"] is None else at["next"]
+    half, odd = (n - n % 2) // 2, n % 2
+    if half <= 1:
+        return [theta]
+    low, high = rows.where(F.col("x") <= theta), rows.where(F.col("x") > theta)
+    n_low = low.count()
+    out = [theta]
+    for part, k in ((low, half + odd * (n_low > total - n_low)), (high, half + odd * (n_low <= total - n_low))):
+        ends = part.agg(F.min("x"), F.max("x")).head()
+        if ends[0] is not None and ends[0] < ends[1]:
+            out += _entropy_over_rows(part, k, limit)
+    return out
+
+
+def entropy(df: DataFrame, x: str, n: int = 10, mf: str = "trimf", limit: int | None = None) -> Partition:
     lo, hi = universe(df, x)
-    return _between(entropy_thresholds(histogram(df, x), n), mf, lo, hi)
+    return _between(_entropy_over_rows(_finite(df, x), n, DRIVER_VALUES if limit is None else limit), mf, lo, hi)
 
 
 def _start(values: Sequence[tuple[float, int]], k: int) -> list[float]:
@@ -202,70 +257,149 @@ def _start(values: Sequence[tuple[float, int]], k: int) -> list[float]:
     return sorted(set(out))
 
 
-def fcm(df: DataFrame, x: str, n: int = 10, mf: str = "trimf", steps: int = 100, delta: float = 1e-3) -> Partition:
-    """Fuzzy c-means with fuzziness 2 over the weighted distinct values."""
+def _start_over_rows(rows: DataFrame, k: int, limit: int) -> list[float]:
+    total = rows.count()
+    return sorted({value_at(rows, max(1, math.ceil(total * (j + 0.5) / k)), limit) for j in range(k)})
+
+
+def _sums(rows: DataFrame, weights: Sequence[Column]) -> list[tuple[float, float]]:
+    """(sum of w * x, sum of w) for each weight, in one pass that adds up in each task first."""
+    r = rows.agg(*(F.sum(w * F.col("x")).alias(f"a{i}") for i, w in enumerate(weights)), *(F.sum(w).alias(f"b{i}") for i, w in enumerate(weights))).head()
+    return [(r[f"a{i}"] or 0.0, r[f"b{i}"] or 0.0) for i in range(len(weights))]
+
+
+def fcm(df: DataFrame, x: str, n: int = 10, mf: str = "trimf", steps: int = 100, delta: float = 1e-3, limit: int | None = None) -> Partition:
+    """Fuzzy c-means with fuzziness 2, over the weighted distinct values or, where these are too many, a pass over all rows a step."""
     import numpy as np
 
+    limit = DRIVER_VALUES if limit is None else limit
     lo, hi = universe(df, x)
-    values = histogram(df, x)
-    v, w = np.array([a for a, _ in values]), np.array([b for _, b in values], float)
-    c = np.array(_start(values, n))
+    rows = _finite(df, x)
+    values = histogram(rows, limit)
+    if values is not None:
+        v, w = np.array([a for a, _ in values]), np.array([b for _, b in values], float)
+    c = np.array(_start(values, n) if values is not None else _start_over_rows(rows, n, limit))
     for _ in range(steps):
-        d2 = np.maximum((v[:, None] - c[None, :]) ** 2, 1e-18)
-        m = (1 / d2) / (1 / d2).sum(axis=1, keepdims=True)
-        m2 = m**2 * w[:, None]
-        new = (m2 * v[:, None]).sum(axis=0) / m2.sum(axis=0)
+        if values is not None:
+            d2 = np.maximum((v[:, None] - c[None, :]) ** 2, 1e-18)
+            m = (1 / d2) / (1 / d2).sum(axis=1, keepdims=True)
+            m2 = m**2 * w[:, None]
+            new = (m2 * v[:, None]).sum(axis=0) / m2.sum(axis=0)
+        else:
+            near = [F.lit(1.0) / F.greatest((F.col("x") - float(a)) * (F.col("x") - float(a)), F.lit(1e-18)) for a in c]
+            src = rows.select("x", *(a.alias(f"d{i}") for i, a in enumerate(near)))
+            src = src.withColumn("all", sum((F.col(f"d{i}") for i in range(len(c))), F.lit(0.0)))
+            new = np.array([a / b for a, b in _sums(src, [F.pow(F.col(f"d{i}") / F.col("all"), 2) for i in range(len(c))])])
         moved, c = np.abs(new - c).max(), new
         if moved < delta:
             break
     return _between([round(float(a), 3) for a in c], mf, lo, hi)
 
 
-def cmeans(df: DataFrame, x: str, n: int = 10, steps: int = 1000) -> Partition:
-    """Hard k-means over the weighted distinct values, by prefix sums between the midpoints of the centres."""
+def cmeans(df: DataFrame, x: str, n: int = 10, steps: int = 1000, limit: int | None = None) -> Partition:
+    """Hard k-means, by prefix sums over the weighted distinct values between the midpoints of the centres or, where these are
+    too many, a pass over all rows a step."""
     import numpy as np
 
+    limit = DRIVER_VALUES if limit is None else limit
     lo, hi = universe(df, x)
-    values = histogram(df, x)
-    v, w = np.array([a for a, _ in values]), np.array([b for _, b in values], float)
-    sw, sx = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * v)))
-    c = np.array(_start(values, n))
+    rows = _finite(df, x)
+    values = histogram(rows, limit)
+    if values is not None:
+        v, w = np.array([a for a, _ in values]), np.array([b for _, b in values], float)
+        sw, sx = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * v)))
+    c = np.array(_start(values, n) if values is not None else _start_over_rows(rows, n, limit))
     for _ in range(steps):
-        cuts = np.concatenate(([0], np.searchsorted(v, (c[1:] + c[:-1]) / 2), [len(v)]))
-        size = np.maximum(sw[cuts[1:]] - sw[cuts[:-1]], 1e-300)
-        new = np.where(sw[cuts[1:]] > sw[cuts[:-1]], (sx[cuts[1:]] - sx[cuts[:-1]]) / size, c)
-        if np.array_equal(new, c):
+        mids = (c[1:] + c[:-1]) / 2
+        if values is not None:
+            cuts = np.concatenate(([0], np.searchsorted(v, mids), [len(v)]))
+            total, size = sx[cuts[1:]] - sx[cuts[:-1]], sw[cuts[1:]] - sw[cuts[:-1]]
+        else:
+            ends = [-math.inf, *map(float, mids), math.inf]
+            got = _sums(rows, [F.when((F.col("x") >= a) & (F.col("x") < b), 1.0).otherwise(0.0) for a, b in zip(ends, ends[1:], strict=False)])
+            total, size = np.array([a for a, _ in got]), np.array([b for _, b in got])
+        new = np.where(size > 0, total / np.maximum(size, 1e-300), c)
+        if np.allclose(new, c, rtol=1e-12, atol=0):
             break
         c = new
     return _between([round(float(a), 3) for a in c], "trimf", lo, hi)
 
 
-def subclust(df: DataFrame, x: str, ra: float = 0.5, eps_sup: float = 0.5, eps_inf: float = 0.15, bins: int = 2000) -> Partition:
-    """Subtractive clustering on values scaled to [0, 1], over a histogram of equal-width bins that holds every row."""
+#: Blocks of the unit interval and terms of the expansion in each; the potential is exact to rounding (see below).
+_BLOCKS, _TERMS = 64, 24
+
+
+def _moments(rows: DataFrame, a: float, b: float, scale: float):
+    """Moments of the Gaussian expansion about each block's centre, summed over all rows: an array (block, term)."""
+    import numpy as np
+
+    u = (F.col("x") - a) / (b - a)
+    block = F.least(F.floor(u * _BLOCKS), F.lit(_BLOCKS - 1)).cast("int")
+    src = rows.select(block.alias("k"), u.alias("u")).select("k", ((F.col("u") - (F.col("k") + 0.5) / _BLOCKS) * scale).alias("y"))
+    terms, power = [], F.exp(-F.col("y") * F.col("y"))
+    for t in range(_TERMS):
+        terms.append(F.sum(power * F.pow("y", F.lit(float(t))) if t else power).alias(f"m{t}"))
+    out = np.zeros((_BLOCKS, _TERMS))
+    for r in src.groupBy("k").agg(*terms).collect():
+        out[r["k"]] = [r[f"m{t}"] for t in range(_TERMS)]
+    return out
+
+
+def subclust(df: DataFrame, x: str, ra: float = 0.5, eps_sup: float = 0.5, eps_inf: float = 0.15, mf: str = "trimf", batch: int = 4096) -> Partition:
+    """Subtractive clustering on values scaled to [0, 1].
+
+    The potential of a value, a sum of Gaussians over all rows, comes from moments of blocks: exp(-(p - q)**2) =
+    exp(-p**2) exp(-q**2) sum((2 p q)**t / t!), and |2 p q| within a block is small, so _TERMS terms leave nothing but rounding.
+    Each centre takes a pass in which tasks give their own best value; equal potentials go to the smaller value.
+    """
     import numpy as np
+    import pyarrow as pa
 
     lo, hi = universe(df, x)
     a, b = universe(df, x, 0.0)
-    k = F.floor((F.col(x) - a) / (b - a) * (bins - 1e-9))
-    got = df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(k.alias("k")).agg(F.avg(x).alias("x"), F.count(F.lit(1)).alias("n")).orderBy("k").collect()
-    v, w = (np.array([r["x"] for r in got]) - a) / (b - a), np.array([r["n"] for r in got], float)
-    rb = 1.5 * ra
-    potential = (w[None, :] * np.exp(-4 * (v[:, None] - v[None, :]) ** 2 / ra**2)).sum(axis=1)
-    centres: list[int] = []
-    top = first = float(potential.max())
-    while top > 0 and len(centres) < MAX_SETS:
-        i = int(potential.argmax())
-        top = float(potential[i])
-        if top <= eps_inf * first:
+    rows = _finite(df, x)
+    if rows.isEmpty():
+        return Partition((), lo, hi)
+    scale, rb = 2.0 / ra, 1.5 * ra
+    moments = _moments(rows, a, b, scale) / np.cumprod([1.0, *range(1, _TERMS)])
+    mids = (np.arange(_BLOCKS) + 0.5) / _BLOCKS
+    centres: list[tuple[float, float]] = []
+    refused: list[float] = []
+
+    def potential(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v))
+        for k in np.flatnonzero(moments[:, 0]):
+            p = (v - mids[k]) * scale
+            out += np.exp(-p * p) * np.polynomial.polynomial.polyval(2 * p, moments[k])
+        for c, top in centres:
+            out -= top * np.exp(-4 * (v - c) ** 2 / rb**2)
+        out[np.isin(v, refused)] = 0
+        return out
+
+    def best(batches):
+        found = None
+        for got in batches:
+            v = np.unique((got.column(0).to_numpy() - a) / (b - a))
+            for at in range(0, len(v), batch):
+                p = potential(v[at : at + batch])
+                i = int(p.argmax())
+                if found is None or (p[i], -v[at + i]) > (found[0], -found[1]):
+                    found = (float(p[i]), float(v[at + i]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([found[0]]), pa.array([found[1]])], names=["p", "v"])
+
+    first = None
+    while len(centres) < MAX_SETS:
+        top = rows.mapInArrow(best, "p double, v double").orderBy(F.col("p").desc(), "v").head()
+        first = top["p"] if first is None else first
+        if top["p"] <= 0 or top["p"] <= eps_inf * first:
             break
-        if top <= eps_sup * first:
-            near = min((abs(v[i] - v[j]) for j in centres), default=math.inf)
-            if near / ra + top / first < 1:
-                potential[i] = 0
-                continue
-        centres.append(i)
-        potential = potential - top * np.exp(-4 * (v - v[i]) ** 2 / rb**2)
-    return _between([float(v[i] * (b - a) + a) for i in centres], "trimf", lo, hi)
+        near = min((abs(top["v"] - c) for c, _ in centres), default=math.inf)
+        if top["p"] <= eps_sup * first and near / ra + top["p"] / first < 1:
+            refused.append(top["v"])
+        else:
+            centres.append((top["v"], top["p"]))
+    return _between([c * (b - a) + a for c, _ in centres], mf, lo, hi)
 
 
 def composite(name: str, shapes: Sequence[tuple[str, Sequence[float]]], at: float | None = None) -> FuzzySet:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from sfumato.plans import experiment, search
 from sfumato.queries.base import S, rounded, series, steady, steady_sql
 from sfumato.sources import store, synthetic
 from sfumato.streaming import online
-from sfumato.session import table
+from sfumato.session import shared_folder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -181,9 +180,8 @@ def _stream(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh place for a stream: beside the checkpoints on a cluster, a temporary folder in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sfumato-stream-")
+    """A fresh place for a stream, beside the checkpoints."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""WITH e AS (SELECT event_type, event_id AS t, value AS x FROM events), u AS (SELECT min(x) * 0.9::DOUBLE AS lo, max(x) * 1.1::DOUBLE AS hi FROM e),
@@ -196,9 +194,7 @@ def stream_rules(spark, d):
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def stream_windows(spark, d):
     out = online.window_statistics(_stream(spark, d)).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", F.round("mean", 6).alias("mean"))
-    q = out.writeStream.outputMode("complete").format("memory").queryName("sfumato_windows").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("sfumato_windows")
+    return online.collect_whole(out, _folder(spark))
 
 
 @query()

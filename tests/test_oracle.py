@@ -13,7 +13,7 @@ def test_same_as_sql(spark, data, duck, name):
     same(QUERIES[name](spark, data), duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"subclust_sets", "nsfts_conditional"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, data, name):
     assert QUERIES[name](spark, data).head(1)
 
