@@ -91,7 +91,8 @@ def window_naive_rmse(spark, d):
 @query()
 def windowed_benchmarks(spark, d):
     configs = [{"method": m, "partitions": n} for m in ("chen", "yu", "ismail_efendi") for n in (10, 20)] + [{"method": "whofts", "order": 2}]
-    return experiment.windowed_benchmarks(series(spark, d), 1000, configs).drop("seconds")
+    b = experiment.windowed_benchmarks(series(spark, d), 1000, configs).drop("seconds")
+    return rounded(b.withColumn("rmse", F.when(~F.isnan("rmse"), F.col("rmse"))), "rmse")
 
 
 # Reports over result tables.
@@ -157,7 +158,7 @@ def _small(spark, d):
 @query()
 def grid_search(spark, d):
     s = _small(spark, d)
-    return search.as_frame(s, search.grid_search(s, (5, 10), ((1,), (1, 2)), size=800, inc=0.2))
+    return rounded(search.as_frame(s, search.grid_search(s, (5, 10), ((1,), (1, 2)), size=800, inc=0.2)), "f1", "f2", "rmse", "size")
 
 
 @query()

@@ -250,7 +250,8 @@ for _name, _w in (("nsfts_unconditional", False), ("weighted_nsfts", True)):
 def high_order_nsfts(spark, d):
     s = series(spark, d)
     m = ns.polynomial(s, P.grid(s, "x", 6), 1000)
-    return rounded(ns.forecast(s, m, ns.rules(s, m, (1, 2), True), (1, 2)), "yhat", "lower", "upper")
+    fc = ns.forecast(s, m, ns.rules(s, m, (1, 2), True), (1, 2))
+    return fc.select("target_t", *(F.round(c, 4).alias(c) for c in ("yhat", "lower", "upper")))
 
 
 def _mids(s: DataFrame, p: P.Partition) -> dict[int, float]:
@@ -262,7 +263,7 @@ def nsfts_conditional(spark, d):
     s = _dense_panel(spark, d)
     p = P.grid(s, "x", 8, margin=-0.05)
     mids = _mids(s, p)
-    return ns.conditional_forecast(s, p, mids, ns.train_residuals(s, p, mids))
+    return ns.conditional_forecast(s, p, mids, ns.train_residuals(s, p, mids)).withColumn("yhat", F.round("yhat", 4))
 
 
 def _dense_panel(spark, d):
@@ -274,7 +275,7 @@ def _dense_panel(spark, d):
 def cvfts(spark, d):
     s = _dense_panel(spark, d)
     p = P.grid(s, "x", 8, margin=-0.05)
-    return ns.variance_forecast(s, p, _mids(s, p))
+    return ns.variance_forecast(s, p, _mids(s, p)).withColumn("yhat", F.round("yhat", 4))
 
 
 @query("SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS t, value AS x FROM events")
@@ -395,7 +396,8 @@ def ar1(spark, d):
 @query()
 def arma21(spark, d):
     s = series(spark, d)
-    return rounded(baselines.fit_ar(s, 2, 1).forecast(s), "yhat", "lower", "upper")
+    fc = baselines.fit_ar(s, 2, 1).forecast(s)
+    return fc.select("target_t", *(F.round(c, 4).alias(c) for c in ("yhat", "lower", "upper")))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sfumato.queries.base import FUZZY, TRANS
+from sfumato.queries.base import FUZZY, TRANS, S, sets_sql
 from sfumato.queries.models import _MV
 from sfumato.queries.univariate import _DIST, _FREQ, _GROUPS, _OUT, _RULE_SQL, _paths_sql
 from sfumato.queries.univariate import SQL as UNI
@@ -170,3 +170,205 @@ SELECT series_id, t, round(coalesce(avg(d) OVER (PARTITION BY series_id ORDER BY
 
 SQL["stream_sessions"] = """WITH e AS (SELECT event_type AS series_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
 k AS (SELECT *, sum(f) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT series_id, min(ts) AS began, count(*) AS n FROM k GROUP BY series_id, s"""
+
+
+# Experiments in sliding windows: each window has its own grid from its training rows.
+def _windows(size: int, configs: list[tuple[str, int, int]]) -> str:
+    """CTEs up to bm (window_id, config, rmse, size) of (method, sets, order) configurations, over windows that move by a fifth."""
+    step, cut = round(size * 0.2), round(size * 0.8)
+    out = [
+        f"WITH {S}, w AS (SELECT CAST(k AS BIGINT) AS window_id, s.t, s.x, s.t - k * {step} AS o FROM s, range(0, (SELECT CAST(max(t) // {step} + 1 AS BIGINT) FROM s)) r(k) WHERE t >= k * {step} AND t < k * {step} + {size})",
+        f"nn AS (SELECT window_id, count(*) FILTER (o < {cut}) AS n_train, count(*) FILTER (o >= {cut}) AS n_test FROM w GROUP BY window_id)",
+        f"ul AS (SELECT window_id, min(x) AS a, max(x) AS z FROM w WHERE o < {cut} GROUP BY window_id)",
+        "lh AS (SELECT window_id, CASE WHEN a < 0 THEN a * 1.1::DOUBLE ELSE a * 0.9::DOUBLE END AS lo, CASE WHEN z > 0 THEN z * 1.1::DOUBLE ELSE z * 0.9::DOUBLE END AS hi FROM ul)",
+        f"wc AS (SELECT w.window_id, t, x, o, CASE WHEN o < {cut} THEN x ELSE greatest(least(x, hi), lo) END AS cx FROM w JOIN lh ON lh.window_id = w.window_id)",
+    ]
+    for n in sorted({n for _, n, _ in configs}):
+        out += [
+            f"g{n} AS (SELECT window_id, CAST(i AS INTEGER) AS set_ix, CASE WHEN hi > lo THEN (hi - lo) / {n - 1} ELSE 1.0::DOUBLE END AS p, lo + i * CASE WHEN hi > lo THEN (hi - lo) / {n - 1} ELSE 1.0::DOUBLE END AS c FROM lh, range(0, {n}) r(i))",
+            f"d{n} AS (SELECT wc.window_id, t, x, o, set_ix, c, 1 - abs(cx - c) / p AS mu FROM wc JOIN g{n} g ON g.window_id = wc.window_id)",
+            f"a{n} AS (SELECT window_id, t, x, o, set_ix, c FROM (SELECT *, row_number() OVER (PARTITION BY window_id, t ORDER BY greatest(0, mu) DESC, set_ix) AS rn FROM d{n}) WHERE rn = 1)",
+            f"tr{n} AS (SELECT q.window_id, q.t, q.set_ix AS i, v.set_ix AS j, v.c FROM a{n} q JOIN a{n} v ON v.window_id = q.window_id AND v.t = q.t + 1 WHERE v.o < {cut})",
+        ]
+        if any(m == "whofts" and n == k for m, k, _ in configs):
+            out.append(f"f{n} AS (SELECT window_id, t, x, o, set_ix, c FROM d{n} WHERE mu > 0)")
+    results = []
+    for at, (method, n, order) in enumerate(configs):
+        name = f"_{at}"
+        if method == "whofts":
+            lags = range(order, 0, -1)
+            key = " || '-' || ".join(f"f{k}.set_ix" for k in lags)
+            joins = " ".join(f"JOIN f{n} f{k} ON f{k}.window_id = v.window_id AND f{k}.t = v.t - {k}" for k in lags)
+            out += [
+                f"m{name} AS (SELECT v.window_id, {key} AS path, avg(v.c) AS mid FROM f{n} v {joins} WHERE v.o < {cut} GROUP BY 1, 2)",
+                f"pa{name} AS (SELECT v.window_id, v.t, v.x, {key} AS path, f1.c AS own FROM wc v {joins} WHERE v.o >= {cut + order} AND f{order}.o >= {cut})",
+                f"fc{name} AS (SELECT q.window_id, q.t, any_value(q.x) AS x, avg(coalesce(m.mid, q.own)) AS y FROM pa{name} q LEFT JOIN m{name} m ON m.window_id = q.window_id AND m.path = q.path GROUP BY q.window_id, q.t)",
+            ]
+        else:
+            rule = {
+                "chen": f"SELECT window_id, i, avg(c) AS mid FROM (SELECT DISTINCT window_id, i, j, c FROM tr{n}) GROUP BY 1, 2", "ismail_efendi": f"SELECT window_id, i, avg(c) AS mid FROM tr{n} GROUP BY 1, 2",
+                "yu": f"SELECT window_id, i, sum(k * c) / sum(k) AS mid FROM (SELECT *, row_number() OVER (PARTITION BY window_id, i ORDER BY t) AS k FROM tr{n}) GROUP BY 1, 2",
+            }[method]
+            out += [
+                f"m{name} AS ({rule})",
+                f"fc{name} AS (SELECT v.window_id, v.t, v.x, coalesce(m.mid, q.c) AS y FROM a{n} q JOIN wc v ON v.window_id = q.window_id AND v.t = q.t + 1 LEFT JOIN m{name} m ON m.window_id = q.window_id AND m.i = q.set_ix WHERE q.o >= {cut})",
+            ]
+        out.append(
+            f"bm{name} AS (SELECT nn.window_id, {at} AS config, CASE WHEN n_test > {order} AND n_train > {order + 1} THEN e.rmse END AS rmse, CASE WHEN n_test > {order} AND n_train > {order + 1} THEN r.size ELSE 0 END AS size FROM nn "
+            f"LEFT JOIN (SELECT window_id, sqrt(avg((x - y) * (x - y))) AS rmse FROM fc{name} GROUP BY 1) e ON e.window_id = nn.window_id LEFT JOIN (SELECT window_id, count(*) AS size FROM m{name} GROUP BY 1) r ON r.window_id = nn.window_id)"
+        )
+        results.append(f"SELECT * FROM bm{name}")
+    return ", ".join(out) + f", bm AS ({' UNION ALL '.join(results)})"
+
+
+_configs = [(m, n, 1) for m in ("chen", "yu", "ismail_efendi") for n in (10, 20)] + [("whofts", 10, 2)]
+SQL["windowed_benchmarks"] = _windows(1000, _configs) + (
+    f", k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {m!r}, {n}, {o})' for i, (m, n, o) in enumerate(_configs))}) v(config, model, partitions, fts_order)) "
+    "SELECT window_id, bm.config, model, partitions, fts_order, round(rmse, 6) AS rmse, CAST(size AS INTEGER) AS size FROM bm JOIN k ON k.config = bm.config"
+)
+SQL["best_config"] = _windows(500, [(m, n, 1) for m in ("chen", "yu") for n in (5, 10, 20)]) + " SELECT config, round(avg(rmse), 6) AS rmse FROM bm WHERE rmse IS NOT NULL GROUP BY config ORDER BY avg(rmse), config LIMIT 1"
+_grid = [(n, o) for n in (5, 10) for o in (1, 2)]
+SQL["grid_search"] = _windows(800, [("whofts", n, o) for n, o in _grid]) + (
+    f", k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {n}, {o})' for i, (n, o) in enumerate(_grid))}) v(config, partitions, o)), "
+    "r AS (SELECT config, avg(rmse) AS m, stddev_pop(rmse) AS s, avg(size) AS n FROM bm GROUP BY config) "
+    "SELECT 'whofts' AS method, partitions, CASE WHEN o = 1 THEN '1' ELSE '1,2' END AS lags, 0.0::DOUBLE AS alpha, round(0.6::DOUBLE * m + 0.4::DOUBLE * s, 6) AS f1, "
+    "round(0.4::DOUBLE * n + 60 * CASE WHEN o = 1 THEN 1 ELSE 3 END, 6) AS f2, round(m, 6) AS rmse, round(n, 6) AS size FROM r JOIN k ON k.config = r.config"
+)
+
+
+def _solved(k: int, of: str, into: str) -> str:
+    """CTEs that solve a symmetric system of k equations, columns a<i>_<j> (i <= j) and b<i> of one row, by elimination; the last has x0, x1, ..."""
+    at = {(i, j): f"a{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)} | {(i, k): f"b{i}" for i in range(k)}
+    out = [f"{into}_0 AS (SELECT " + ", ".join(f"{c} AS r{i}_{j}" for (i, j), c in at.items()) + f" FROM {of})"]
+    for p in range(k):
+        cells = [f"r{i}_{j}" + ("" if i == p else f" - r{i}_{p} / r{p}_{p} * r{p}_{j}") + f" AS r{i}_{j}" for i, j in at]
+        out.append(f"{into}_{p + 1} AS (SELECT {', '.join(cells)} FROM {into}_{p})")
+    return ", ".join(out) + f", {into} AS (SELECT " + ", ".join(f"r{i}_{k} / r{i}_{i} AS x{i}" for i in range(k)) + f" FROM {into}_{k})"
+
+
+def _normal(z: list[str], y: str, frm: str) -> str:
+    """The sums of a least-squares fit."""
+    k = len(z)
+    sums = [f"sum(({z[i]}) * ({z[j]})) AS a{i}_{j}" for i in range(k) for j in range(i, k)] + [f"sum(({z[i]}) * {y}) AS b{i}" for i in range(k)]
+    return f"SELECT {', '.join(sums)}, sum({y} * {y}) AS yy, count(*)::DOUBLE AS n FROM {frm}"
+
+
+# Autoregression of two lags with one moving-average term, from the errors of an autoregression of six lags.
+_one = "1.0::DOUBLE"
+_long = [_one, *(f"x{j}" for j in range(1, 7))]
+_error = "x1 - (l.x0 + " + " + ".join(f"l.x{j} * o.x{j + 1}" for j in range(1, 7)) + ")"
+_fit = " + ".join(f"f.x{i} * {z}" for i, z in enumerate(["1", "v.x1", "v.x2", "v.e1"]))
+SQL["arma21"] = f"""WITH {S}, o AS (SELECT t, x, {', '.join(f'lag(x, {j}) OVER (ORDER BY t) AS x{j}' for j in range(1, 8))} FROM s),
+n1 AS ({_normal(_long, 'x', '(SELECT * FROM o WHERE x6 IS NOT NULL)')}), {_solved(7, 'n1', 'l')},
+v AS (SELECT o.t, o.x, o.x1, o.x2, {_error.replace('x1 -', 'o.x1 -')} AS e1 FROM o, l WHERE o.x7 IS NOT NULL), n2 AS ({_normal([_one, 'x1', 'x2', 'e1'], 'x', 'v')}), {_solved(4, 'n2', 'f')},
+y AS (SELECT v.t, v.x, {_fit} AS y FROM v, f), sg AS (SELECT sqrt(avg((x - y) * (x - y))) AS s FROM y)
+SELECT t AS target_t, round(y, 4) AS yhat, round(y - 1.6448536269514722::DOUBLE * s, 4) AS lower, round(y + 1.6448536269514722::DOUBLE * s, 4) AS upper FROM y, sg"""
+
+# Sets that drift along polynomials through the extremes of windows of 1,000 rows.
+_u = "(w - mid) / half"
+_poly = lambda x, w: f"({x}.x0 + {x}.x1 * (({w}) - k.mid) / k.half + {x}.x2 * pow((({w}) - k.mid) / k.half, 2))"
+SQL["high_order_nsfts"] = f"""WITH {S}, {sets_sql(6)}, we AS (SELECT CAST(t // 1000 * 1000 AS DOUBLE) AS w, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1),
+k AS (SELECT min(w) AS first, (min(w) + max(w)) / 2 AS mid, CASE WHEN max(w) > min(w) THEN (max(w) - min(w)) / 2 ELSE 1 END AS half FROM we), wu AS (SELECT {_u} AS u, lo, hi FROM we, k),
+nl AS ({_normal([_one, 'u', 'u * u'], 'lo', 'wu')}), {_solved(3, 'nl', 'pl')}, nh AS ({_normal([_one, 'u', 'u * u'], 'hi', 'wu')}), {_solved(3, 'nh', 'ph')},
+m AS (SELECT t, x, {_poly('pl', 't // 1000 * 1000')} - {_poly('pl', 'k.first')} AS dl, {_poly('ph', 't // 1000 * 1000')} - {_poly('ph', 'k.first')} AS dh FROM s, k, pl, ph),
+mv AS (SELECT m.*, set_ix, c, p, (1 - set_ix / 5.0::DOUBLE) * dl + set_ix / 5.0::DOUBLE * dh AS loc, (dh - dl) / 6 AS wid FROM m, g),
+e AS (SELECT *, c - p + loc - wid / 2 AS ea, c + loc AS eb, c + p + loc + wid / 2 AS ec FROM mv),
+d AS (SELECT *, CASE WHEN x < ea OR x > ec THEN 0 WHEN x < eb THEN (x - ea) / (eb - ea) WHEN x = eb THEN 1 ELSE (ec - x) / (ec - eb) END AS mu FROM e),
+f AS (SELECT t, set_ix, c, p, mu FROM d WHERE mu > 0 UNION ALL SELECT t, set_ix, c, p, 1.0::DOUBLE FROM d WHERE t NOT IN (SELECT t FROM d WHERE mu > 0) AND set_ix = (CASE WHEN x < (SELECT min(c) FROM g) + dl THEN 0 ELSE 5 END)),
+pa AS (SELECT b.t + 1 AS t, a.set_ix || '-' || b.set_ix AS path, a.mu * b.mu AS mu, b.set_ix AS own, b.c AS oc, b.p FROM f b JOIN f a ON a.t = b.t - 1),
+ru AS (SELECT pa.path, avg(f.c) AS mid, avg(f.set_ix / 5.0::DOUBLE) AS kb FROM pa JOIN f ON f.t = pa.t GROUP BY pa.path),
+j AS (SELECT pa.*, coalesce(ru.mid, pa.oc) AS mid, (1 - coalesce(ru.kb, pa.own / 5.0::DOUBLE)) * m.dl + coalesce(ru.kb, pa.own / 5.0::DOUBLE) * m.dh AS sh FROM pa JOIN m ON m.t = pa.t - 1 LEFT JOIN ru ON ru.path = pa.path)
+SELECT t AS target_t, round(sum(mu * (mid + sh)) / sum(mu), 4) AS yhat, round(sum(mu * (mid - p + sh)) / sum(mu), 4) AS lower, round(sum(mu * (mid + p + sh)) / sum(mu), 4) AS upper FROM j GROUP BY t"""
+
+
+# The conditional model: residual memories are carried along each series, whose times are dense.
+_N = 8
+
+
+def _value(x: str, loc: list[str], wid: list[str]) -> str:
+    """Forecast of the value after x by sets displaced by loc and widened by wid, from columns c<i>, m<i> (centroids, midpoints) and p."""
+    num, den = [], []
+    for i in range(_N):
+        a, b, c = f"(c{i} - p + {loc[i]} - {wid[i]} / 2)", f"(c{i} + {loc[i]})", f"(c{i} + p + {loc[i]} + {wid[i]} / 2)"
+        mu = f"CASE WHEN {a} < {x} AND {x} < {c} THEN CASE WHEN {x} = {b} THEN 1.0::DOUBLE WHEN {x} < {b} THEN ({x} - {a}) / ({b} - {a}) ELSE ({c} - {x}) / ({c} - {b}) END ELSE 0.0::DOUBLE END"
+        num.append(f"({mu}) * (m{i} + {loc[i]})")
+        den.append(f"({mu})")
+    edge = f"CASE WHEN {x} < c0 + {loc[0]} THEN m0 + {loc[0]} ELSE m{_N - 1} + {loc[_N - 1]} END"
+    return f"CASE WHEN {' + '.join(den)} > 0 THEN ({' + '.join(num)}) / ({' + '.join(den)}) ELSE {edge} END"
+
+
+_loc = [f"(base + a + {k} * step)" for k in range(_N)]
+_every = [*_loc, f"(base + a + 2 * sd / {_N - 1})", f"(base + a + 2 * sd / {_N - 1} + step)"]
+_wid = [f"abs({_every[0]} - {_every[2]})", *(f"abs({_every[k - 1]} - {_every[k + 1]})" for k in range(1, _N))]
+_state = (
+    "SELECT *, CASE WHEN len(rs) > 0 THEN list_avg(rs) ELSE 0 END AS bias, CASE WHEN len(rs) = 0 OR list_var_pop(rs) < 1 THEN 0 ELSE sqrt(list_var_pop(rs)) END AS sd, (b - a) / 7 AS step FROM (__FROM__)"
+)
+_next = f"SELECT id, t, rs, {_value('x', _loc, _wid)} AS y FROM (SELECT *, (b - a) / 2 + mean + bias - sd AS base FROM ({_state})), k"
+SQL["nsfts_conditional"] = SQL["cvfts"] = f"""WITH RECURSIVE s AS (SELECT event_type AS id, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS t FROM events),
+uu AS (SELECT min(x) AS a, max(x) AS z FROM s), bb AS (SELECT CASE WHEN a < 0 THEN a * (1 + -0.05::DOUBLE) ELSE a * (1 - -0.05::DOUBLE) END AS lo, CASE WHEN z > 0 THEN z * (1 + -0.05::DOUBLE) ELSE z * (1 - -0.05::DOUBLE) END AS hi FROM uu),
+g AS (SELECT CAST(i AS INTEGER) AS set_ix, lo + i * ((hi - lo) / {_N - 1}) AS c, (hi - lo) / {_N - 1} AS p, lo - (hi - lo) / {_N - 1} AS ulo, hi AS uhi FROM bb, range(0, {_N}) r(i)),
+ax AS (SELECT id, t, CAST(least(greatest(ceil((x - lo) / ((hi - lo) / {_N - 1}) - 0.5::DOUBLE), 0), {_N - 1}) AS INTEGER) AS i FROM s, bb),
+ru AS (SELECT i, avg(c) AS mid FROM (SELECT DISTINCT q.i, w.i AS j FROM ax q JOIN ax w ON w.id = q.id AND w.t = q.t + 1) d JOIN g ON g.set_ix = d.j GROUP BY i),
+k AS (SELECT any_value(p) AS p, any_value(ulo) AS ulo, any_value(uhi) AS uhi, {', '.join(f'max(CASE WHEN set_ix = {i} THEN c END) AS c{i}, max(CASE WHEN set_ix = {i} THEN coalesce(mid, c) END) AS m{i}' for i in range(_N))} FROM g LEFT JOIN ru ON ru.i = g.set_ix),
+pl AS (SELECT id, t, x, {_value('x', ['0.0::DOUBLE'] * _N, ['1.0::DOUBLE'] * _N)} AS y FROM s, k), er AS (SELECT id, t, x - lag(y) OVER (PARTITION BY id ORDER BY t) AS e FROM pl),
+tn AS (SELECT id, avg(e) AS mean, list(e ORDER BY t)[-5:] AS kept FROM er WHERE e IS NOT NULL GROUP BY id),
+ab AS (SELECT s.*, least(0, min(x - ulo) OVER w) AS a, greatest(0, max(x - uhi) OVER w) AS b FROM s, k WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+st AS (SELECT ab.*, mean, kept FROM ab JOIN tn ON tn.id = ab.id),
+m(id, t, rs, y) AS ({_next.replace('__FROM__', 'SELECT st.*, kept AS rs FROM st WHERE t = 0')}
+UNION ALL {_next.replace('__FROM__', 'SELECT st.*, list_append(m.rs, st.x - m.y)[-5:] AS rs FROM m JOIN st ON st.id = m.id AND st.t = m.t + 1')})
+SELECT id AS series_id, t + 1 AS target_t, round(y, 4) AS yhat FROM m"""
+
+
+# Partitioners: interior points of a sorted list, with their neighbours; the universe's ends are points too.
+def _between(points: str) -> str:
+    """CTE body of (set_ix, name, lower, centroid, upper) from a query of points v."""
+    every = f"SELECT v FROM ({points}) UNION SELECT lo FROM b UNION SELECT hi FROM b"
+    return (
+        "SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS set_ix, 'A' || (row_number() OVER (ORDER BY v) - 1) AS name, a AS lower, v AS centroid, z AS upper "
+        f"FROM (SELECT v, lag(v) OVER (ORDER BY v) AS a, lead(v) OVER (ORDER BY v) AS z FROM ({every})) WHERE a IS NOT NULL AND z IS NOT NULL"
+    )
+
+
+_HIST = f"{sets_sql()}, hg AS (SELECT x AS v, count(*) AS n FROM s GROUP BY x)"
+
+
+def _split(name: str, where: str) -> str:
+    """CTE of one threshold: the value at which the two-part entropy first falls, else the last."""
+    q = f"SELECT v, CAST(sum(n) OVER (ORDER BY v) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS q FROM hg WHERE {where}"
+    h = f"SELECT v, CASE WHEN q = 1 THEN 1 ELSE -(q * ln(q) + (1 - q) * ln(1 - q)) END AS h FROM (SELECT v, least(q, 1) AS q FROM ({q})) WHERE q < 1 UNION ALL SELECT v, 1.0 FROM ({q}) WHERE q >= 1"
+    return f"{name} AS (SELECT coalesce(min(CASE WHEN h < before THEN v END), max(v)) AS v, count(*) AS n FROM (SELECT v, h, lag(h) OVER (ORDER BY v) AS before FROM ({h})))"
+
+
+def _low(at: str) -> str:
+    return f"v <= (SELECT v FROM {at})"
+
+
+def _high(at: str) -> str:
+    return f"v > (SELECT v FROM {at})"
+
+
+_ENTROPY = ", ".join([
+    _split("t0", "true"), _split("t1", _low("t0")), _split("t2", _high("t0")), _split("t11", f"{_low('t0')} AND {_low('t1')}"), _split("t12", f"{_low('t0')} AND {_high('t1')}"),
+    _split("t21", f"{_high('t0')} AND {_low('t2')}"), _split("t22", f"{_high('t0')} AND {_high('t2')}")]) + (
+    ", et AS (SELECT v FROM t0 UNION " + " UNION ".join(f"SELECT v FROM {t} WHERE n > 1" for t in ("t1", "t2", "t11", "t12", "t21", "t22")) + f"), en AS ({_between('SELECT v FROM et')})")
+_START = "rk AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS r, sum(n) OVER () AS al FROM hg), st AS (SELECT list(v ORDER BY v) AS c FROM (SELECT DISTINCT (SELECT min(v) FROM rk WHERE r >= al * (j + 0.5::DOUBLE) / 10) AS v FROM range(0, 10) z(j)))"
+# A step assigns each value to the centre whose range between midpoints holds it.
+_MEANS = """km(i, c, done) AS (SELECT 0, c, false FROM st UNION ALL
+SELECT i + 1, nc, coalesce(list_max([abs(p.a - p.b) / abs(p.a) FOR p IN [{'a': nc[q], 'b': c[q]} FOR q IN range(1, len(c) + 1)]]), 0) <= 1e-12 FROM (
+  SELECT any_value(i) AS i, any_value(c) AS c, list(y ORDER BY k) AS nc FROM (
+    SELECT any_value(i) AS i, any_value(c) AS c, k, sum(v * n) / sum(n) AS y FROM (
+      SELECT km.i, km.c, hg.v, hg.n, len([m FOR m IN [(km.c[q] + km.c[q + 1]) / 2 FOR q IN range(1, len(km.c))] IF m <= hg.v]) AS k FROM km, hg WHERE NOT km.done AND km.i < 1000) GROUP BY k)) WHERE i IS NOT NULL)"""
+_CMEANS = f"{_START}, {_MEANS}, kc AS (SELECT DISTINCT round(unnest(c), 3) AS v FROM (SELECT c FROM km ORDER BY i DESC LIMIT 1)), cm AS ({_between('SELECT v FROM kc')})"
+_FUZZY_MEANS = """fm(i, c, done) AS (SELECT 0, c, false FROM st UNION ALL
+SELECT i + 1, nc, list_max([abs(nc[q] - c[q]) FOR q IN range(1, len(c) + 1)]) < 1e-3 FROM (
+  SELECT any_value(i) AS i, any_value(c) AS c, list(y ORDER BY q) AS nc FROM (
+    SELECT any_value(i) AS i, any_value(c) AS c, q, sum(m * m * n * v) / sum(m * m * n) AS y FROM (
+      SELECT i, c, v, n, q, ds[q] / list_sum(ds) AS m FROM (
+        SELECT fm.i, fm.c, hg.v, hg.n, [1 / greatest((hg.v - e) * (hg.v - e), 1e-18) FOR e IN fm.c] AS ds FROM fm, hg WHERE NOT fm.done AND fm.i < 100), LATERAL (SELECT unnest(range(1, len(c) + 1)) AS q)) GROUP BY q)) WHERE i IS NOT NULL)"""
+_SETS = " SELECT set_ix, name, lower, centroid, upper FROM "
+SQL["entropy_sets"] = f"WITH {S}, {_HIST}, {_ENTROPY}{_SETS}en"
+SQL["cmeans_sets"] = f"WITH RECURSIVE {S}, {_HIST}, {_CMEANS}{_SETS}cm"
+SQL["fcm_sets"] = f"WITH RECURSIVE {S}, {_HIST}, {_START}, {_FUZZY_MEANS}, fc AS (SELECT DISTINCT round(unnest(c), 3) AS v FROM (SELECT c FROM fm ORDER BY i DESC LIMIT 1)), fs AS ({_between('SELECT v FROM fc')}){_SETS}fs"
+SQL["explore_partitioners"] = f"WITH RECURSIVE {S}, {_HIST}, {_ENTROPY}, {_CMEANS} SELECT partitioner, set_ix, name, mf, round(lower, 6) AS lower, round(centroid, 6) AS centroid, round(upper, 6) AS upper FROM (" + " UNION ALL ".join([
+    *(f"SELECT 'grid_{m}' AS partitioner, set_ix, 'A' || set_ix AS name, '{m}' AS mf, c - p AS lower, c AS centroid, c + p AS upper FROM g" for m in ("trimf", "trapmf", "gaussmf")),
+    *(f"SELECT '{k}', set_ix, name, 'trimf', lower, centroid, upper FROM {t}" for k, t in (("entropy", "en"), ("cmeans", "cm")))]) + ")"

@@ -322,7 +322,7 @@ for _name, _build in {
 def explore_partitioners(spark, d):
     s = series(spark, d)
     b = {f"grid_{m}": (lambda df, x, m=m: P.grid(df, x, 10, m)) for m in ("trimf", "trapmf", "gaussmf")} | {"entropy": P.entropy, "cmeans": P.cmeans}
-    return P.explore(s, "x", b).select("partitioner", "set_ix", "name", "mf", "lower", "centroid", "upper")
+    return rounded(P.explore(s, "x", b).select("partitioner", "set_ix", "name", "mf", "lower", "centroid", "upper"), "lower", "centroid", "upper")
 
 
 @query("SELECT e.event_id AS t, round(e.value - coalesce(q.value, e.value), 6) AS d1 FROM events e LEFT JOIN events q ON q.event_id = e.event_id - 1", "lag_blocks")
