@@ -37,6 +37,19 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentile.percentiles(percentile.merge(days, KEYS), KEYS, (25, 50, 75, 90, 99))
 
 
+def p1_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each estimate's exact rank lies within the proven error of the rank asked for: counted over all rows."""
+    rows, qs = _run_times(spark, d), (25, 50, 75, 90, 99)
+    got = cut(percentile.percentiles(percentile.merge(percentile.summarize(rows, KEYS, "value"), KEYS), KEYS, qs))
+    each = got.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "n", "rank_error", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"p{q}").alias("y")) for q in qs))).alias("e"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
+    few = got.limit(percentile.BROADCAST + 1).count() <= percentile.BROADCAST
+    ranked = rows.join(F.broadcast(each) if few else each, on).groupBy(*KEYS, "n", "rank_error", F.col("e.q").alias("q")).agg(
+        F.count_if(F.col("value") < F.col("e.y")).alias("below"), F.count_if(F.col("value") <= F.col("e.y")).alias("upto"))
+    want = F.ceil(F.col("n") * F.col("q") / 100)
+    return ranked.select(*KEYS, "n", "q", ((F.col("upto") + F.col("rank_error") >= want) & (F.col("below") + 1 - F.col("rank_error") <= want)).alias("within"))
+
+
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Models of each dataset by closeness to the ideal of their error measures and run times."""
     rows = table(spark, d, "benchmarks").where((F.col("type") == "point") & F.col("dataset").isNotNull() & valid("value"))
@@ -87,4 +100,4 @@ def p8_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_percentiles, p2_found, p2_rank, p3_found, p6_ids, p7_packing, p8_found, p8_normalized)}
+        p1_found, p1_percentiles, p1_within, p2_found, p2_rank, p3_found, p6_ids, p7_packing, p8_found, p8_normalized)}
