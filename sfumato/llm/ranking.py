@@ -32,47 +32,50 @@ def ideal_point_ranking(
 ) -> DataFrame:
     """group, item, the scores, d_ideal, d_anti, closeness, rnk.
 
-    matrix has one row a group and item.  The windows run over the items of one group.
+    matrix has one row a group and item.  Percentiles, extremes and norms are aggregated with map-side combining and joined
+    back, so a group of many items is no single task until the items' order, whose rows are sorted by one task a group.
     """
     weights = list(weights or [1.0] * len(scores))
-    w = Window.partitionBy(group)
-    ok = matrix.select(group, item, *scores)
-    for s in scores:
-        ok = ok.where(valid(s))
-    # Winsorise.
-    ends = {s: F.percentile(s, [winsor[0], winsor[1]]).over(w) for s in scores}
-    df = ok.select("*", *(e.alias(f"_e_{s}") for s, e in ends.items()))
-    df = df.select(group, item, *scores, *(F.least(F.greatest(F.col(s), F.col(f"_e_{s}")[0]), F.col(f"_e_{s}")[1]).alias(f"_w_{s}") for s in scores))
+    ok = matrix.select(F.col(group).alias("_g"), F.col(item).alias("_item"), *(F.col(s).alias(f"_x{i}") for i, s in enumerate(scores)))
+    ix = range(len(scores))
+    for i in ix:
+        ok = ok.where(valid(f"_x{i}"))
+    # Winsorise; the norm is that of the winsorised scores, so it takes a second pass.
+    ends = ok.groupBy("_g").agg(
+        *(F.percentile(f"_x{i}", [winsor[0], winsor[1]]).alias(f"_e{i}") for i in ix), *(F.min(f"_x{i}").alias(f"_lo{i}") for i in ix), *(F.max(f"_x{i}").alias(f"_hi{i}") for i in ix))
+    inside = lambda c, i: F.least(F.greatest(F.col(c), F.get(f"_e{i}", F.lit(0))), F.get(f"_e{i}", F.lit(1)))
+    df = _with(ok, ends).select("_g", "_item", *(f"_x{i}" for i in ix), *(inside(f"_x{i}", i).alias(f"_w{i}") for i in ix), *(inside(f"_{e}{i}", i).alias(f"_{e}{i}") for i in ix for e in ("lo", "hi")))
+    df = _with(df, df.groupBy("_g").agg(*(F.sqrt(F.sum(F.col(f"_w{i}") * F.col(f"_w{i}"))).alias(f"_n{i}") for i in ix)))
     # Vector-normalise and weight; raw scores by the same norm serve for ties.
-    norms = [F.sqrt(F.sum(F.col(f"_w_{s}") * F.col(f"_w_{s}")).over(w)).alias(f"_n_{s}") for s in scores]
-    df = df.select("*", *norms)
-    unit = lambda col, s, wt: F.when(F.col(f"_n_{s}") > 0, F.col(col) / F.col(f"_n_{s}") * F.lit(wt)).otherwise(F.lit(0.0))
-    sign = lambda s: -1.0 if s in higher_is_better else 1.0
-    df = df.select(
-        group, item, *scores,
-        *(unit(f"_w_{s}", s, wt * sign(s)).alias(f"_u_{s}") for s, wt in zip(scores, weights, strict=True)),
-        sum((unit(s, s, wt * sign(s)) for s, wt in zip(scores, weights, strict=True)), F.lit(0.0)).alias("_raw"),
-    )
-    best = [F.min(f"_u_{s}").over(w).alias(f"_b_{s}") for s in scores]
-    worst = [F.max(f"_u_{s}").over(w).alias(f"_a_{s}") for s in scores]
-    df = df.select("*", *best, *worst)
-    dist = lambda p: F.sqrt(sum(((F.col(f"_u_{s}") - F.col(f"_{p}_{s}")) * (F.col(f"_u_{s}") - F.col(f"_{p}_{s}")) for s in scores), F.lit(0.0)))
-    df = df.select(group, item, *scores, "_raw", dist("b").alias("d_ideal"), dist("a").alias("d_anti"))
+    signed = [wt * (-1.0 if s in higher_is_better else 1.0) for s, wt in zip(scores, weights, strict=True)]
+    unit = lambda c, i: F.when(F.col(f"_n{i}") > 0, F.col(c) / F.col(f"_n{i}") * F.lit(signed[i])).otherwise(F.lit(0.0))
+    # The ideal has the least of each weighted score, the anti-ideal the greatest: at the ends, which of them by the weight's sign.
+    best, worst = ([unit(f"_{'lo' if (w >= 0) == low else 'hi'}{i}", i) for i, w in enumerate(signed)] for low in (True, False))
+    dist = lambda to: F.sqrt(sum(((unit(f"_w{i}", i) - to[i]) * (unit(f"_w{i}", i) - to[i]) for i in ix), F.lit(0.0)))
+    raw = sum((unit(f"_x{i}", i) for i in ix), F.lit(0.0))
+    df = df.select("_g", "_item", *(f"_x{i}" for i in ix), raw.alias("_raw"), dist(best).alias("d_ideal"), dist(worst).alias("d_anti"))
     df = df.withColumn("closeness", F.when(F.col("d_ideal") == 0, F.lit(1.0)).otherwise(F.col("d_anti") / (F.col("d_ideal") + F.col("d_anti"))))
-    order = Window.partitionBy(group).orderBy(F.col("closeness").desc(), F.col("_raw"), F.col(item))
-    return df.withColumn("rnk", F.row_number().over(order)).drop("_raw")
+    ranked = df.withColumn("rnk", F.row_number().over(Window.partitionBy("_g").orderBy(F.col("closeness").desc(), F.col("_raw"), F.col("_item"))))
+    return ranked.select(F.col("_g").alias(group), F.col("_item").alias(item), *(F.col(f"_x{i}").alias(s) for i, s in enumerate(scores)), "d_ideal", "d_anti", "closeness", "rnk")
+
+
+def _with(df: DataFrame, per_group: DataFrame) -> DataFrame:
+    """df with its group's row; a NULL group is a group.  At run time Spark broadcasts the groups' table if it is small, and
+    splits hot groups of a shuffle join."""
+    return df.join(per_group.withColumnRenamed("_g", "_k"), F.col("_g").eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def dominant(ranked: DataFrame, group: str, item: str, scores: Sequence[str], least_items: int = 3, margin: float = 1e-9) -> DataFrame:
     """First-ranked items that are lower than every other item of their group in all scores, by more than margin
     (absolute); an exact check of candidates that the ranking puts at the ideal point."""
-    w = Window.partitionBy(group)
-    second = lambda c: F.nth_value(c, 2).over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = ranked.select(
-        group, item, "d_ideal", "rnk", *scores, F.count(F.lit(1)).over(w).alias("_n"), *(F.min(s).over(w).alias(f"_low_{s}") for s in scores),
-        *(second(s).alias(f"_next_{s}") for s in scores),
-    )
-    keep = (F.col("_n") >= least_items) & (F.col("rnk") == 1) & (F.col("d_ideal") == 0)
-    for s in scores:  # the second lowest is the lowest of the others
-        keep = keep & (F.col(s) == F.col(f"_low_{s}")) & (F.col(f"_next_{s}") - F.col(s) > margin)
-    return df.where(keep).select(group, item)
+    lows = ranked.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), *(F.min(s).alias(f"_low{i}") for i, s in enumerate(scores))).where(F.col("_n") >= least_items)
+    near = [F.col(s) - F.col(f"_low{i}") <= margin for i, s in enumerate(scores)]
+    df = ranked.select(F.col(group).alias("_h"), F.col(item).alias("_item"), "d_ideal", "rnk", *scores).join(lows, F.col("_h").eqNullSafe(F.col("_g")))
+    first = (F.col("rnk") == 1) & (F.col("d_ideal") == 0)
+    for i, s in enumerate(scores):
+        first = first & (F.col(s) == F.col(f"_low{i}"))
+    # One aggregation tells whether the first item is alone within the margin of each lowest value.
+    alone = df.groupBy("_h").agg(*(F.count_if(c).alias(f"_c{i}") for i, c in enumerate(near)), F.max(F.when(first, F.struct(F.col("_item")))).alias("_first"))
+    for i in range(len(scores)):
+        alone = alone.where(F.col(f"_c{i}") == 1)
+    return alone.where(F.col("_first").isNotNull()).select(F.col("_h").alias(group), F.col("_first._item").alias(item))
