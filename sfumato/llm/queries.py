@@ -54,7 +54,8 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Models of each dataset by closeness to the ideal of their error measures and run times."""
     rows = table(spark, d, "benchmarks").where((F.col("type") == "point") & F.col("dataset").isNotNull() & valid("value"))
     rows = rows.withColumn("score", measure_key("measure")).where(F.col("score").isin(*SCORES))
-    matrix = ranking.score_matrix(entries(rows, "dataset", "model", "score", "value"), "dataset", "model", "score", "value", SCORES)
+    # One row a dataset and model, read by several passes of the ranking.
+    matrix = cut(ranking.score_matrix(entries(rows, "dataset", "model", "score", "value"), "dataset", "model", "score", "value", SCORES))
     return ranking.ideal_point_ranking(matrix, "dataset", "model", SCORES)
 
 
