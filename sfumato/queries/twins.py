@@ -266,10 +266,18 @@ SELECT t AS target_t, round(y, 4) AS yhat, round(y - 1.6448536269514722::DOUBLE
 
 # Sets that drift along polynomials through the extremes of windows of 1,000 rows.
 _u = "(w - mid) / half"
+_powers = [_one, "one * u", "two * u * u"]  # with fewer windows than powers the highest are left out
+
+
+def _used(sums: str) -> str:
+    """Coefficients of powers left out come out as 0."""
+    return f"SELECT * REPLACE (CASE WHEN a1_1 = 0 THEN 1 ELSE a1_1 END AS a1_1, CASE WHEN a2_2 = 0 THEN 1 ELSE a2_2 END AS a2_2) FROM ({sums})"
+
+
 _poly = lambda x, w: f"({x}.x0 + {x}.x1 * (({w}) - k.mid) / k.half + {x}.x2 * pow((({w}) - k.mid) / k.half, 2))"
 SQL["high_order_nsfts"] = f"""WITH {S}, {sets_sql(6)}, we AS (SELECT CAST(t // 1000 * 1000 AS DOUBLE) AS w, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1),
-k AS (SELECT min(w) AS first, (min(w) + max(w)) / 2 AS mid, CASE WHEN max(w) > min(w) THEN (max(w) - min(w)) / 2 ELSE 1 END AS half FROM we), wu AS (SELECT {_u} AS u, lo, hi FROM we, k),
-nl AS ({_normal([_one, 'u', 'u * u'], 'lo', 'wu')}), {_solved(3, 'nl', 'pl')}, nh AS ({_normal([_one, 'u', 'u * u'], 'hi', 'wu')}), {_solved(3, 'nh', 'ph')},
+k AS (SELECT min(w) AS first, (min(w) + max(w)) / 2 AS mid, CASE WHEN max(w) > min(w) THEN (max(w) - min(w)) / 2 ELSE 1 END AS half FROM we), wu AS (SELECT {_u} AS u, lo, hi, (count(*) OVER () >= 2)::INTEGER AS one, (count(*) OVER () >= 3)::INTEGER AS two FROM we, k),
+nl AS ({_used(_normal(_powers, 'lo', 'wu'))}), {_solved(3, 'nl', 'pl')}, nh AS ({_used(_normal(_powers, 'hi', 'wu'))}), {_solved(3, 'nh', 'ph')},
 m AS (SELECT t, x, {_poly('pl', 't // 1000 * 1000')} - {_poly('pl', 'k.first')} AS dl, {_poly('ph', 't // 1000 * 1000')} - {_poly('ph', 'k.first')} AS dh FROM s, k, pl, ph),
 mv AS (SELECT m.*, set_ix, c, p, (1 - set_ix / 5.0::DOUBLE) * dl + set_ix / 5.0::DOUBLE * dh AS loc, (dh - dl) / 6 AS wid FROM m, g),
 e AS (SELECT *, c - p + loc - wid / 2 AS ea, c + loc AS eb, c + p + loc + wid / 2 AS ec FROM mv),
