@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sfumato.operators.series import with_lags
+from sfumato.session import cut
 
 
 def least_squares(df: DataFrame, features: Sequence[Column], y: Column, weight: Column | None = None) -> tuple[np.ndarray, float, int]:
@@ -138,18 +139,26 @@ def quantile_forecast(df: DataFrame, taus: Sequence[float] = (0.05, 0.5, 0.95),
 #: Queries of one block of the neighbour search; a block is what each task holds beside its rows.
 QUERY_BLOCK = 20_000
 
+#: Rows of one range of values in the search by order, and values whose candidates a task compares at a time.
+RANGE_ROWS, RANGE_STEP = 250_000, 1024
+
 
 def knn(df: DataFrame, k: int = 30, order: int = 1, every: int = 100) -> DataFrame:
     """target_t, yhat: mean successor of the k nearest lag vectors, for the queries whose t is divisible by `every`.
 
-    Exact, over all rows: each task meets one block of queries at a time and keeps the k nearest of its own rows a query, and
-    these are merged.  A row is no neighbour of itself; ties go to the earlier row.
+    Exact, over all rows.  A row is no neighbour of itself; ties go to the earlier row.  One lag is searched in the order of its
+    values; longer vectors are compared with all rows.
     """
     lags = range(1, order + 1)
     o = with_lags(df.select("t", "x"), ["x"], lags).where(F.col(f"x_{order}").isNotNull())
-    vec = [F.col(f"x_{j}") for j in lags]
-    rows = o.select("t", "x", F.array(*vec).alias("v"))
-    queries = rows.where(F.pmod("t", F.lit(every)) == 0).select("t", "v")
+    if order == 1:
+        return _knn_by_order(o.select("t", "x", F.col("x_1").cast("double").alias("v")), k, every, df.count())
+    rows = o.select("t", "x", F.array(*(F.col(f"x_{j}") for j in lags)).alias("v"))
+    return _knn_by_scan(rows, rows.where(F.pmod("t", F.lit(every)) == 0).select("t", "v"), k, order)
+
+
+def _knn_by_scan(rows: DataFrame, queries: DataFrame, k: int, order: int) -> DataFrame:
+    """Each task meets one block of queries at a time and keeps the k nearest of its own rows a query, and these are merged."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     schema = "q bigint, t bigint, d double, x double"
     out = None
@@ -157,17 +166,18 @@ def knn(df: DataFrame, k: int = 30, order: int = 1, every: int = 100) -> DataFra
         own = queries.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).toPandas()
         if not len(own):
             continue
-        shared = df.sparkSession.sparkContext.broadcast((own["t"].to_numpy(), np.stack(own["v"].to_numpy())))
+        shared = rows.sparkSession.sparkContext.broadcast((own["t"].to_numpy(), np.stack(own["v"].to_numpy())))
 
         def run(batches, shared=shared):
             qt, qv = shared.value
             best_d, best_t, best_x = np.full((len(qt), k), np.inf), np.full((len(qt), k), -1), np.zeros((len(qt), k))
             for batch in batches:
-                t, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                v = np.reshape(batch.column(2).flatten().to_numpy(), (-1, order)) if len(t) else np.zeros((0, order))
+                t, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                v = np.reshape(batch.column(2).flatten().to_numpy(zero_copy_only=False), (-1, order)) if len(t) else np.zeros((0, order))
                 for at in range(0, len(qt), 500):
                     s = slice(at, at + 500)
-                    d = np.sqrt(((qv[s, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+                    d = qv[s, None, :] - v[None, :, :]
+                    d = np.abs(d[:, :, 0]) if order == 1 else np.sqrt((d**2).sum(axis=2))
                     d[qt[s, None] == t[None, :]] = np.inf
                     d = np.concatenate([best_d[s], d], axis=1)
                     tt = np.concatenate([best_t[s], np.broadcast_to(t, (len(qt[s]), len(t)))], axis=1)
@@ -191,11 +201,103 @@ def knn(df: DataFrame, k: int = 30, order: int = 1, every: int = 100) -> DataFra
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return df.sparkSession.createDataFrame([], "target_t bigint, yhat double")
+        return rows.sparkSession.createDataFrame([], "target_t bigint, yhat double")
     near = out.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("_r") <= k)
     return near.groupBy(F.col("q").alias("target_t")).agg(F.avg("x").alias("yhat"))
 
 
+def _knn_by_order(rows: DataFrame, k: int, every: int, n: int) -> DataFrame:
+    """The search for one lag: the k nearest of a value are among the first k + 1 rows of it and the k + 1 next on either side.
+
+    Of one value only its first k + 1 rows can be anyone's neighbours, so these are put in ranges of values, of which each task
+    gets one and the edges of the ranges beside it.  A later row of the same value has the value's first k as neighbours.  Where
+    different values are equally far after rounding and the time of rows outside of these lists would decide, all rows are looked at.
+    """
+    top = k + 1
+    rows = rows.select("t", F.col("x").cast("double").alias("x"), (F.col("v") + F.lit(0.0)).alias("v")).where(F.abs("v") < float("inf"))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("t"))).where(F.col("_r") <= top)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    held = cut(first.repartitionByRange(parts, "v").sortWithinPartitions("v", "t").select("t", "x", F.col("x").isNotNull().alias("has"), "v", "_r", F.spark_partition_id().alias("p")))
+    edge = 3 * top  # whole values of more than 2 * top rows, as none has more than top
+
+    def ends(batches):
+        whole = pa.Table.from_batches(batches)
+        if len(whole):
+            for side, part in enumerate((whole.slice(0, edge), whole.slice(max(0, len(whole) - edge)))):
+                yield from part.append_column("side", pa.array([side] * len(part), pa.int32())).to_batches()
+
+    e = held.select("p", "v", "t", "x", "has").mapInArrow(_some(ends), "p int, v double, t bigint, x double, has boolean, side int").toPandas().sort_values(["p", "v", "t"])
+    before, after = ({c: part[c].to_numpy() for c in ("p", "v", "t", "x", "has")} for part in (e[e["side"] == 1], e[e["side"] == 0]))
+    shared = rows.sparkSession.sparkContext.broadcast((before, after))
+
+    def run(batches):
+        whole = pa.Table.from_batches(batches)
+        if not len(whole):
+            return
+        before, after = shared.value
+        p = whole.column("p")[0].as_py()
+        lo, hi = np.searchsorted(before["p"], p), np.searchsorted(after["p"], p, side="right")
+        v, t, x, has = (np.concatenate([before[c][max(0, lo - edge) : lo], whole.column(c).to_numpy(), after[c][hi : hi + edge]]) for c in ("v", "t", "x", "has"))
+        a = min(lo, edge)
+        for at, yhat, known, open_ in _nearest(v, t, np.where(has, x, 0.0), has, a, a + len(whole), k):
+            yield pa.RecordBatch.from_arrays([pa.array(t[at], pa.int64()), pa.array(yhat, mask=~known), pa.array(open_)], names=["target_t", "yhat", "open"])
+
+    found = cut(held.mapInArrow(_some(run), "target_t bigint, yhat double, open boolean").where(F.pmod("target_t", F.lit(every)) == 0))
+    same = held.groupBy("v").agg(F.max("t").alias("last"), F.avg(F.when(F.col("_r") <= k, F.col("x"))).alias("yhat"), F.count(F.lit(1)).alias("n")).where(F.col("n") == top)
+    later = rows.where(F.pmod("t", F.lit(every)) == 0).join(same, "v").where(F.col("t") > F.col("last")).select(F.col("t").alias("target_t"), "yhat")
+    out = found.where(~F.col("open")).drop("open").unionByName(later)
+    if not found.where("open").isEmpty():
+        vec = rows.select("t", "x", F.array("v").alias("v"))
+        out = out.unionByName(_knn_by_scan(vec, vec.join(found.where("open").select(F.col("target_t").alias("t")), "t").select("t", "v"), k, 1))
+    return out
+
+
+def _some(f):
+    """f over a task's batches, where there are any."""
+
+    def run(batches):
+        if got := list(batches):
+            yield from f(got)
+
+    return run
+
+
+def _nearest(v: np.ndarray, t: np.ndarray, x: np.ndarray, has: np.ndarray, a: int, b: int, k: int):
+    """Of rows in the order of (v, t): positions within [a, b), mean x of the k nearest others, whether there is one, and whether it's undecided."""
+    n, top = len(v), k + 1
+    back = np.lexsort((t, -v))  # greater values first, of one value the earlier row first
+    start = np.flatnonzero(np.concatenate([[True], v[a + 1 : b] != v[a : b - 1]])) + a
+    end = np.append(start[1:], b)
+    step = np.arange(top)
+    for c in range(0, len(start), RANGE_STEP):
+        s, e = start[c : c + RANGE_STEP], end[c : c + RANGE_STEP]
+        q = v[s]
+        left, right, same = n - s[:, None] + step, e[:, None] + step, s[:, None] + step
+        there = np.concatenate([same < e[:, None], left < n, right < n], axis=1)
+        ix = np.concatenate([same, back[np.minimum(left, n - 1)], right], axis=1)
+        ix[~there] = 0
+        d = np.where(there, np.abs(v[ix] - q[:, None]), np.inf)
+        by = np.lexsort((t[ix], d), axis=1)[:, :top]
+        near, dist = np.take_along_axis(ix, by, 1), np.take_along_axis(d, by, 1)
+        # A list that ends at the last distance chosen: rows beyond its end count if another value is as far.
+        undecided = np.zeros(len(s), bool)
+        for end_of in (2 * top - 1, 3 * top - 1):
+            tied = np.flatnonzero(there[:, end_of] & (d[:, end_of] <= dist[:, -1]))
+            w = v[ix[tied, end_of]]
+            for beside in (np.searchsorted(v, w) - 1, np.searchsorted(v, w, side="right")):
+                inside = (beside >= 0) & (beside < n)
+                other = np.abs(v[np.clip(beside, 0, n - 1)] - q[tied])
+                undecided[tied] |= inside & (other == dist[tied, -1])
+        g = np.repeat(np.arange(len(s)), e - s)
+        at = np.arange(s[0], e[-1])
+        use = np.isfinite(dist)[g] & (near[g] != at[:, None])
+        counted = use & has[near[g]]
+        m = counted.sum(axis=1)
+        yhat = np.where(counted, x[near[g]], 0.0).sum(axis=1) / np.maximum(m, 1)
+        some = use.any(axis=1)
+        yield at[some], yhat[some], m[some] > 0, undecided[g][some]
+
+
 def gaussian_process(df: DataFrame, window: int = 500, lags: int = 1, length: float | None = None, noise: float = 0.1) -> DataFrame:
     """target_t, yhat, sd: one-step forecasts of a Gaussian process on lag vectors.
 
