@@ -143,8 +143,8 @@ QUERY_BLOCK = 20_000
 RANGE_ROWS, RANGE_STEP = 250_000, 1024
 
 
-def knn(df: DataFrame, k: int = 30, order: int = 1, every: int = 100) -> DataFrame:
-    """target_t, yhat: mean successor of the k nearest lag vectors, for the queries whose t is divisible by `every`.
+def knn(df: DataFrame, k: int = 30, order: int = 1, every: int = 1) -> DataFrame:
+    """target_t, yhat: mean successor of the k nearest lag vectors, for every row, or for those whose t is divisible by `every`.
 
     Exact, over all rows.  A row is no neighbour of itself; ties go to the earlier row.  One lag is searched in the order of its
     values; longer vectors are compared with all rows.

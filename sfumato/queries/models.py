@@ -405,7 +405,7 @@ def quantile_autoregression(spark, d):
     return rounded(baselines.quantile_forecast(series(spark, d)), "q05", "q50", "q95")
 
 
-@query(f"WITH {S}, o AS (SELECT s.t, s.x, q.x AS x1 FROM s JOIN s q ON q.t = s.t - 1), n AS (SELECT q.t, o.x, row_number() OVER (PARTITION BY q.t ORDER BY abs(q.x1 - o.x1), o.t) AS rn FROM o q JOIN o ON o.t <> q.t WHERE q.t % 100 = 0) SELECT t AS target_t, round(avg(x), 6) AS yhat FROM n WHERE rn <= 30 GROUP BY t")
+@query(f"WITH {S}, o AS (SELECT s.t, s.x, q.x AS x1 FROM s JOIN s q ON q.t = s.t - 1), n AS (SELECT q.t, o.x, row_number() OVER (PARTITION BY q.t ORDER BY abs(q.x1 - o.x1), o.t) AS rn FROM o q JOIN o ON o.t <> q.t) SELECT t AS target_t, round(avg(x), 6) AS yhat FROM n WHERE rn <= 30 GROUP BY t")
 def knn_lag(spark, d):
     return rounded(baselines.knn(series(spark, d)), "yhat")
 

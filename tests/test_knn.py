@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sfumato.plans import baselines
+from sfumato.queries import core
 
 
 def _brute(xs, k):
@@ -52,3 +53,8 @@ def test_no_pass_by_block_of_queries(spark, monkeypatch):
     monkeypatch.setattr(baselines, "_knn_by_scan", None)
     s = spark.range(500).select(F.col("id").alias("t"), F.round(50 * F.sin("id"), 1).alias("x"))
     assert baselines.knn(s, 5, 1, every=5).count() == 99
+
+
+def test_knn_lag_forecasts_every_row(spark, data):
+    got = core.queries()["knn_lag"](spark, data)
+    assert got.select("target_t").distinct().count() == got.count() == spark.read.parquet(f"{data}/events.parquet").count() - 1
