@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sfumato.operators.series import sliding_windows
+from sfumato.session import cut
 
 #: Methods a window cell can be evaluated with.
 METHODS = ("naive", "chen", "yu", "ismail_efendi", "whofts")
@@ -47,52 +48,165 @@ def evaluate_window(train: np.ndarray, test: np.ndarray, method: str, n: int, la
         y = np.array([mid.get(int(i), c[i]) for i in b])[top - 1 : -1]
         return float(np.sqrt(np.mean((test[top:] - y) ** 2))), len(mid)
 
-    def fire(x):
-        d = _degrees(np.clip(x, lo, hi), lo, p, n)
-        return [[int(i) for i in np.flatnonzero((row > 0) & (row >= alpha))] or [int(row.argmax())] for row in d]
-
-    def lagged(f, t):
-        out = [()]
-        for o in sorted(lags, reverse=True):
-            out = [k + (i,) for k in out for i in f[t - o]]
-        return out
-
-    f, count = fire(train), {}
-    for t in range(top, len(train)):
-        for path in lagged(f, t):
-            s = count.setdefault(path, [0.0, 0])
-            for j in f[t]:
-                s[0] += c[j]
-                s[1] += 1
-    g = fire(test)
-    y = []
-    for t in range(top, len(test)):
-        got = [count[k][0] / count[k][1] if k in count else c[k[-1]] for k in lagged(g, t)]
-        y.append(sum(got) / len(got))
-    return float(np.sqrt(np.mean((test[top:] - np.array(y)) ** 2))), len(count)
-
-
-def windowed_benchmarks(df: DataFrame, size: int, configs: Sequence[dict], train: float = 0.8, inc: float = 0.2) -> DataFrame:
+    rmse, rules = evaluate_whofts(train[None, :], test[None, :], n, lags, alpha)
+    return float(rmse[0]), int(rules[0])
+
+
+def _fired(x: np.ndarray, lo: np.ndarray, p: np.ndarray, n: int, alpha: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two or three pairs (set, whether it fired) for each value: only the three sets around one can fire, and seldom all."""
+    near = (x - lo) / p
+    near = np.clip(np.where(np.isfinite(near), np.rint(near), 0.0).astype(np.int64), 0, n - 1)
+    ix = [near - 1, near, near + 1]
+    d = [np.maximum(0.0, 1 - np.abs(x - (lo + i * p)) / p) for i in ix]
+    d[0], d[2] = np.where(ix[0] < 0, -1.0, d[0]), np.where(ix[2] >= n, -1.0, d[2])
+    on = [(q > 0) & (q >= alpha) for q in d]
+    none = ~(on[0] | on[1] | on[2])
+    if none.any():  # the set of the greatest degree
+        greatest = np.stack(d).argmax(axis=0)
+        on = [q | (none & (greatest == i)) for i, q in enumerate(on)]
+    ix[0] = np.maximum(ix[0], 0)
+    ix[2] = np.minimum(ix[2], n - 1)
+    if (on[0] & on[2]).any():
+        return list(zip(ix, on))
+    return [(near, on[1]), (np.where(on[0], ix[0], ix[2]), on[0] | on[2])]
+
+
+def _paths(fired: list[tuple[np.ndarray, np.ndarray]], lags: Sequence[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, whether it is one) of each path of fired sets, as windows x paths x rows from the greatest lag on; lags are falling."""
+    top, m = lags[0], fired[0][0].shape[1]
+    out = [(i[:, : m - top], q[:, : m - top]) for i, q in fired]
+    for o in lags[1:]:
+        out = [(key * n + i[:, top - o : m - o], ok & q[:, top - o : m - o]) for key, ok in out for i, q in fired]
+    return np.stack([key for key, _ in out], axis=1), np.stack([ok for _, ok in out], axis=1)
+
+
+def evaluate_whofts(train: np.ndarray, test: np.ndarray, n: int, lags: Sequence[int], alpha: float, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rmse, number of rules) of every window, a row of train and of test, longer than the lags.
+
+    places: room for a number by path, which needn't be cleared, since what it names is compared; paths beyond it are sorted.
+    """
+    lags = sorted(lags, reverse=True)
+    top, windows = lags[0], np.arange(len(train))[:, None]
+    lo, hi = train.min(axis=1, keepdims=True), train.max(axis=1, keepdims=True)
+    lo, hi = lo * np.where(lo < 0, 1.1, 0.9), hi * np.where(hi > 0, 1.1, 0.9)
+    p = np.where(hi > lo, (hi - lo) / (n - 1), 1.0)
+    fired = _fired(train, lo, p, n, alpha)
+    key, ok = _paths(fired, lags, n)
+    value = sum(np.where(q, lo + i * p, 0.0) for i, q in fired)[:, None, top:]
+    fires = sum(q.astype(float) for _, q in fired)[:, None, top:]
+    asked, real = _paths(_fired(np.clip(test, lo, hi), lo, p, n, alpha), lags, n)
+    last, shape = asked % n, asked.shape
+    nothing = n ** len(lags)  # the number of what is no path
+    weight, count = (np.where(ok, w, 0.0).ravel() for w in (value, fires))
+    key, asked = np.where(ok, key, nothing).reshape(len(train), -1), asked.reshape(len(train), -1)
+    each = key.shape[1]
+    rule, at = np.empty_like(key), np.empty_like(asked)
+    if places is None or nothing >= len(places):
+        for w in range(len(train)):
+            own, first, back = np.unique(key[w], return_index=True, return_inverse=True)
+            rule[w], at[w] = first[back], first[np.minimum(np.searchsorted(own, asked[w]), len(own) - 1)]
+    else:
+        own = np.arange(each)
+        for w in range(len(train)):
+            places[key[w]] = own
+            rule[w], at[w] = places[key[w]], places[asked[w]]
+        np.minimum(at, each - 1, out=at)
+    rules = ((rule == np.arange(each)) & (key != nothing)).sum(axis=1)
+    at += windows * each
+    known = key.ravel()[at] == asked
+    rule += windows * each
+    sums, times = (np.bincount(rule.ravel(), w, key.size) for w in (weight, count))
+    mean = (sums[at] / np.where(known, times[at], 1.0)).reshape(shape)
+    y = np.where(known.reshape(shape), mean, lo[:, :, None] + last * p[:, :, None])
+    y = np.where(real, y, 0.0).sum(axis=1) / real.sum(axis=1)
+    return np.sqrt(np.mean((test[:, top:] - y) ** 2, axis=1)), rules
+
+
+def evaluate_windows(train: np.ndarray, test: np.ndarray, method: str, n: int, lags: Sequence[int], alpha: float, places: np.ndarray) -> tuple[Sequence[float], Sequence[int]]:
+    """(rmse, number of rules) of every window, a row of train and of test."""
+    if method == "whofts" and test.shape[1] > max(lags) and train.shape[1] > max(lags) + 1:
+        return tuple(v.tolist() for v in evaluate_whofts(train, test, n, lags, alpha, places))
+    return tuple(zip(*(evaluate_window(a, b, method, n, lags, alpha) for a, b in zip(train, test))))
+
+
+#: Paths that get a place in a task's table, rather than being sorted in each window: three lags over 100 sets.
+PLACES = 1 << 20
+
+#: Windows evaluated at a time; their arrays stay within a core's cache.
+TOGETHER = 8
+
+
+def window_blocks(df: DataFrame, size: int, inc: float = 0.2) -> DataFrame:
+    """block, n, t, x: the rows (lists in no order) of each run of n windows, so that most rows are in one list and not in every window."""
+    step = max(1, round(size * inc))
+    n = 4 * max(1, -(-size // step))
+    last = F.floor(F.col("t") / (n * step)).cast("long")
+    first = F.greatest(F.lit(0), F.floor((F.col("t") + step - size) / (n * step)).cast("long"))
+    rows = df.select("t", F.col("x").cast("double").alias("x")).withColumn("block", F.explode(F.sequence(first, F.greatest(first, last))))
+    rows = rows.where(F.col("block") * n * step <= F.col("t")).groupBy("block").agg(F.collect_list(F.struct("t", "x")).alias("r"))
+    return rows.select("block", F.lit(n).alias("n"), F.col("r.t").alias("t"), F.col("r.x").alias("x"))
+
+
+@dataclass(frozen=True)
+class Windowed:
+    """A series whose windows are evaluated again and again: its blocks, spread evenly and written once."""
+
+    blocks: DataFrame
+    size: int
+    inc: float
+
+    @classmethod
+    def of(cls, df: DataFrame, size: int, inc: float) -> Windowed:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+        return cls(cut(window_blocks(df, size, inc).repartition(parts)), size, inc)
+
+
+def windowed_benchmarks(df: DataFrame | Windowed, size: int, configs: Sequence[dict], train: float = 0.8, inc: float = 0.2) -> DataFrame:
     """window_id, config, model, partitions, fts_order, rmse, size, seconds: every configuration in every window.
 
-    A window is one group of `size` rows, so a task's memory doesn't depend on the series' length; configurations run
-    inside of it, since their data are the same.
+    A task meets a block of windows at a time, whose size is fixed, so its memory doesn't depend on the series' length;
+    configurations run inside of it, since their data are the same.
     """
-    rows = sliding_windows(df, size, train, inc)
+    if isinstance(df, Windowed) and (df.size, df.inc) != (size, inc):
+        raise ValueError("the series was cut into other windows")
+    blocks = df.blocks if isinstance(df, Windowed) else window_blocks(df, size, inc)
+    step, cut_at = max(1, round(size * inc)), round(size * train)
+    models = [(c, tuple(c.get("lags", range(1, c.get("order", 1) + 1)))) for c in configs]
     schema = "window_id bigint, config int, model string, partitions int, fts_order int, rmse double, size int, seconds double"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        a, b = pdf.loc[pdf["part"] == "train", "x"].to_numpy(), pdf.loc[pdf["part"] == "test", "x"].to_numpy()
-        out = []
-        for i, c in enumerate(configs):
-            began = time.perf_counter()
-            lags = tuple(c.get("lags", range(1, c.get("order", 1) + 1)))
-            rmse, rules = evaluate_window(a, b, c["method"], c.get("partitions", 10), lags, c.get("alpha", 0.0))
-            out.append((key[0], i, c["method"], c.get("partitions", 10), len(lags), rmse, rules, time.perf_counter() - began))
-        return pd.DataFrame(out, columns=["window_id", "config", "model", "partitions", "fts_order", "rmse", "size", "seconds"])
-
-    return rows.select("window_id", "part", "t", "x").groupBy("window_id").applyInPandas(run, schema)
+    def run(batches):
+        places = np.zeros(PLACES, np.int32)
+        for batch in batches:
+            for i in range(len(batch)):
+                block, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                t, x = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in (2, 3))
+                order = np.argsort(t, kind="stable")
+                t, x = t[order], x[order]
+                out, full = [], []
+                for k in range(block * n, (block + 1) * n):
+                    a, m, b = np.searchsorted(t, (k * step, k * step + min(cut_at, size), k * step + size))
+                    if (m - a, b - m) == (cut_at, size - cut_at):
+                        full.append((k, a))
+                    elif a < b:
+                        for j, (c, lags) in enumerate(models):
+                            began = time.perf_counter()
+                            got = evaluate_window(x[a:m], x[m:b], c["method"], c.get("partitions", 10), lags, c.get("alpha", 0.0))
+                            out.append((k, j, *got, time.perf_counter() - began))
+                for f in range(0, len(full), TOGETHER):
+                    some = full[f : f + TOGETHER]
+                    whole = np.stack([x[a : a + size] for _, a in some])
+                    for j, (c, lags) in enumerate(models):
+                        began = time.perf_counter()
+                        got = evaluate_windows(whole[:, :cut_at], whole[:, cut_at:], c["method"], c.get("partitions", 10), lags, c.get("alpha", 0.0), places)
+                        took = (time.perf_counter() - began) / len(some)
+                        out += [(k, j, *g, took) for (k, _), *g in zip(some, *got)]
+                if out:
+                    out = [(k, j, models[j][0]["method"], models[j][0].get("partitions", 10), len(models[j][1]), *rest) for k, j, *rest in out]
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64())
+                    names = ["window_id", "config", "model", "partitions", "fts_order", "rmse", "size", "seconds"]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), kinds)], names=names)
+
+    return blocks.mapInArrow(run, schema)
 
 
 def to_measures(wide: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sfumato.operators.measures import actuals, point
 from sfumato.operators.partition import grid
 from sfumato.plans import multivariate as mv
-from sfumato.plans.experiment import windowed_benchmarks
+from sfumato.plans.experiment import Windowed, windowed_benchmarks
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def random_individual(rng: random.Random) -> Individual:
     return Individual(rng.randint(10, 100), tuple(range(1, rng.randint(1, 3) + 1)), rng.uniform(0, 0.5))
 
 
-def evaluate(df: DataFrame, population: Sequence[Individual], size: int = 800, train: float = 0.8, inc: float = 0.2) -> list[Individual]:
+def evaluate(df: DataFrame | Windowed, population: Sequence[Individual], size: int = 800, train: float = 0.8, inc: float = 0.2) -> list[Individual]:
     """Fitness of all individuals in one job: f1 from the windows' mean error and its deviation, f2 from the rules and lags."""
     todo = [p for p in population if p.f1 is None]
     if not todo:
@@ -54,6 +54,11 @@ def evaluate(df: DataFrame, population: Sequence[Individual], size: int = 800, t
     return [p if p.f1 is not None else next(fresh) for p in population]
 
 
+def held(df: DataFrame, size: int = 800, inc: float = 0.2, **_) -> Windowed:
+    """The series in blocks of windows, for a search that evaluates them generation by generation."""
+    return Windowed.of(df, size, inc)
+
+
 def tournament(rng: random.Random, population: Sequence[Individual], objective: str) -> Individual:
     a, b = rng.sample(list(population), 2) if len(population) > 1 else (population[0],) * 2
     return a if getattr(a, objective) <= getattr(b, objective) else b
@@ -88,7 +93,7 @@ def genetic(
     df: DataFrame, generations: int = 30, patience: int = 7, population: int = 20, p_cross: float = 0.5, p_mut: float = 0.3, seed: int = 7, **windows,
 ) -> tuple[Individual, list[dict]]:
     """(best individual, statistics by generation).  Mutation rises by 0.05 while nothing improves; `patience` ends the search."""
-    rng = random.Random(seed)
+    rng, df = random.Random(seed), held(df, **windows)
     pop = evaluate(df, [random_individual(rng) for _ in range(population)], **windows)
     best = min(pop, key=lambda p: (p.f1, p.f2))
     stats, still, rate = [], 0, p_mut
@@ -109,7 +114,7 @@ def genetic(
 
 def random_search(df: DataFrame, steps: int = 20, batch: int = 5, seed: int = 7, **windows) -> Individual:
     """Mutants of the best, accepted if better by (f1, f2); a batch of them is one job."""
-    rng = random.Random(seed)
+    rng, df = random.Random(seed), held(df, **windows)
     best = evaluate(df, [random_individual(rng)], **windows)[0]
     for _ in range(max(1, steps // batch)):
         best = min([best, *evaluate(df, [mutate(rng, best, 1.0) for _ in range(batch)], **windows)], key=lambda p: (p.f1, p.f2))
