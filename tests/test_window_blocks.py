@@ -65,3 +65,42 @@ def test_search_cuts_the_windows_once(spark, monkeypatch, run):
     monkeypatch.setattr(experiment, "window_blocks", lambda *a: made.append(a) or blocks(*a))
     run(s, size=200, inc=0.2, **({"generations": 2, "population": 4} if run is search.genetic else {"steps": 10}))
     assert len(made) == 1
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 0.7])
+@pytest.mark.parametrize("lags", [(1,), (1, 3), (1, 2, 4)])
+def test_values_on_centres_and_midpoints(lags, alpha):
+    rng = np.random.default_rng(8)
+    x = rng.integers(20, 201, (20, 200)) / 2
+    x[:, :2] = 10, 100  # with 102 sets, their centres are whole numbers from 9 to 110
+    x[:4, 180:] *= 3  # beyond the grid
+    got = experiment.evaluate_windows(x[:, :160], x[:, 160:], "whofts", 102, lags, alpha, np.zeros(1 << 21, np.int32))
+    assert np.allclose(list(zip(*got)), [_loop(r[:160], r[160:], 102, lags, alpha) for r in x], rtol=1e-9)
+
+
+@pytest.mark.parametrize("name,value", [("DENSE", 0), ("DENSE", 1 << 20), ("EXACT", 0)])
+def test_tables_and_places_have_the_same_sums(monkeypatch, name, value):
+    monkeypatch.setattr(experiment, name, value)
+    x, places = np.random.default_rng(9).normal(3, 5, (20, 200)), np.full(1 << 20, 99, np.int32)
+    x[7, 50] = x[8, 190] = np.nan
+    sound = np.isfinite(x).all(axis=1)
+    for n, lags, alpha in CONFIGS[:2] + [(30, (1, 4, 6), 0.1)]:
+        got = experiment.evaluate_windows(x[:, :160], x[:, 160:], "whofts", n, lags, alpha, places)
+        rmse, rules = map(np.array, got)
+        assert np.allclose(np.stack([rmse, rules], axis=1)[sound], [_loop(r[:160], r[160:], n, lags, alpha) for r in x[sound]], rtol=1e-9)
+        assert np.isnan(rmse[~sound]).all()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "double", "decimal(12, 0)"])
+def test_blocks_come_in_few_pieces(spark, kind):
+    rows, size, step, n = 30_000, 60, 12, 20
+    s = spark.range(-50, rows).selectExpr(f"CAST(IF(id = 700, NULL, id) AS {kind}) AS t", "IF(id = 900, NULL, id / 7) AS x")
+    got = {r["block"]: r for r in experiment.window_blocks(s, size).collect()}
+    assert sum(len(r["rows"]) for r in got.values()) < rows / 20
+    assert set(got) == set(range(-(-rows // (n * step)))) and {r["n"] for r in got.values()} == {n}
+    for b, r in got.items():
+        t, x = np.frombuffer(b"".join(r["rows"])).reshape(-1, 2).T
+        order = np.argsort(t)
+        want = np.array([i for i in range(b * n * step, min(rows, (b + 1) * n * step + size - step)) if i != 700])
+        assert np.array_equal(t[order] + b * n * step, want)
+        assert np.allclose(x[order], np.where(want == 900, np.nan, want / 7), equal_nan=True)
